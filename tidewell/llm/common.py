@@ -42,8 +42,13 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
+    """The words of a text; null and blank texts give an empty array.
+
+    Blanks become spaces first, as splitting at one plain character needs no pattern matching."""
+    t = F.coalesce(text, F.lit(""))
+    for blank in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(blank), F.lit(" "))
+    return F.filter(F.split(t, " "), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:

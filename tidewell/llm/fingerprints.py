@@ -32,33 +32,37 @@ def with_fingerprint(df: DataFrame, text: str, out: str, words: int = SHINGLE_WO
     shingle. Equal word sequences have equal fingerprints. Everything happens within the row.
     """
     bins, shift, digits = 1 << bins_log2, 64 - bins_log2, bits // 4
-    w, h, s, f, b, at = (f"_{out}_{x}" for x in ("words", "hashes", "sorted", "first", "bin", "at"))
+    half, one = bins // 2, 1 << bits
+    w, h, s, f, b = (f"_{out}_{x}" for x in ("words", "hashes", "sorted", "first", "bin"))
     bin_of = lambda x: F.shiftright(x, shift)  # noqa: E731  signed: -bins/2 .. bins/2 - 1, rising with the hash
+    tagged = lambda i, x: i * one + x.bitwiseAND(F.lit(one - 1))  # noqa: E731  a bin and its low bits in one number
     df = df.withColumn(w, F.transform(words_of(F.col(text)), lambda x: F.xxhash64(x)))
-    shingle = lambda i: F.xxhash64(*(F.get(F.col(w), i + F.lit(j)) for j in range(words)))
-    df = df.withColumn(h, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0))), shingle))
+    shingle = lambda i: F.xxhash64(F.slice(F.col(w), i, F.lit(words)))
+    df = df.withColumn(h, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), shingle))
     df = df.withColumn(s, F.sort_array(h))
     df = df.withColumn(f, F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col(s), i - 1)))))
     df = df.withColumn(b, F.transform(f, bin_of))
+    every = F.sequence(F.lit(-half).cast("bigint"), F.lit(half - 1).cast("bigint"))
 
-    def donor(i: Column) -> Column:
-        """Place in ``f`` of the bin that serves bin ``i``: its own, or the first filled one on its walk."""
-        walk = lambda step: F.pmod(F.xxhash64(i, F.lit(1)).bitwiseAND(F.lit(0xFFFF)) + F.xxhash64(i, F.lit(2)).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1)) * step, F.lit(bins)) - bins // 2
-        place = lambda x: F.array_position(F.col(b), x.cast("bigint"))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(bins)), place(i), lambda a, step: F.when(a > 0, a).otherwise(place(walk(step))))
-        return F.when(place(i) > 0, place(i)).otherwise(found)
+    def filled(i: Column) -> Column:
+        """An empty bin with the low bits of its donor, the first filled bin on its walk."""
+        start, stride = F.xxhash64(i, F.lit(1)).bitwiseAND(F.lit(0xFFFF)), F.xxhash64(i, F.lit(2)).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1))
+        place = lambda step: F.array_position(F.col(b), F.pmod(start + stride * step, F.lit(bins)) - half)
+        donor = F.aggregate(F.sequence(F.lit(1), F.lit(bins)), F.lit(0).cast("bigint"), lambda a, step: F.when(a > 0, a).otherwise(place(step)))
+        return tagged(i, F.get(F.col(f), donor.cast("int") - 1))
 
-    every = F.sequence(F.lit(-(bins // 2)).cast("bigint"), F.lit(bins // 2 - 1).cast("bigint"))
-    df = df.withColumn(at, F.when(F.size(f) == bins, F.transform(every, lambda i: i + bins // 2 + 1)).otherwise(F.transform(every, donor)))
-    low = lambda p: F.lpad(F.hex(F.get(F.col(f), (p - 1).cast("int")).bitwiseAND(F.lit((1 << bits) - 1))), digits, "0")
-    return df.withColumn(out, F.lower(F.array_join(F.transform(at, low), ""))).drop(w, h, s, f, b, at)
+    own = F.transform(f, lambda x: tagged(bin_of(x), x))
+    both = F.when(F.size(f) == bins, own).otherwise(F.sort_array(F.concat(own, F.transform(F.array_except(every, b), filled))))
+    names = F.array(*(F.lit(f"{x:0{digits}x}") for x in range(one)))
+    low = lambda x: F.get(names, x.bitwiseAND(F.lit(one - 1)).cast("int"))
+    return df.withColumn(out, F.array_join(F.transform(both, low), "")).drop(w, h, s, f, b)
 
 
 def likeness(a: str, b: str, bins_log2: int = BINS_LOG2, bits: int = BITS) -> Column:
     """Estimated Jaccard similarity of two packed fingerprints, 0 to 1; null if either is null."""
     bins, digits, chance = 1 << bins_log2, bits // 4, 2.0**-bits
-    part = lambda x, i: F.substring(F.col(x), i, F.lit(digits))
-    same = _sum(F.transform(F.sequence(F.lit(1), F.lit(bins * digits), F.lit(digits)), lambda i: (part(a, i) == part(b, i)).cast("int")))
+    parts = lambda x: F.regexp_extract_all(F.col(x), F.lit("." * digits), F.lit(0))
+    same = _sum(F.zip_with(parts(a), parts(b), lambda x, y: (x == y).cast("int")))
     return F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance))
 
 

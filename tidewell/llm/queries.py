@@ -6,15 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
 from .common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import document_licenses
+
+    return document_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import page_texts
 
     return page_texts(read_table(spark, sf_dir, "pages"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(read_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -34,10 +53,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_html_extraction, op6_warc, op8_document_fingerprints, op9_media_columns)
+    f.__name__: f for f in (op1_toxicity, op2_license_scans, op4_html_extraction, op5_source_mixing, op6_warc, op8_document_fingerprints, op9_media_columns)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scans": licenses.oracle()}
 
 #: What SQL can say of a WARC round trip: payload facts and which page is the first holder.
 ORACLES["op6_warc"] = """

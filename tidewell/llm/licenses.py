@@ -136,9 +136,9 @@ cut AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos
         FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{end}') AS s FROM documents WHERE regexp_matches(coalesce(text, ''), '{HINT}'))),
 hit AS (SELECT doc_id, pos, id FROM cut JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
 seqs AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(id, ',' ORDER BY pos) AS ids, string_agg('|' || id || '|', '' ORDER BY pos) AS seq FROM hit GROUP BY doc_id),
-ruled AS (SELECT *, list_filter([{', '.join(hits)}], x -> x IS NOT NULL) AS found, {left} AS rest FROM seqs)
+ruled AS (SELECT *, list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) AS found, {left} AS rest FROM seqs)
 SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids,
-  coalesce(array_to_string(list_filter(found, (x, i) -> list_position(found, x) = i), ','), '') AS licenses,
+  coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS licenses,
   coalesce(trim(regexp_replace(rest, '[|]+', ',', 'g'), ','), '') AS unmatched
 FROM documents d LEFT JOIN ruled USING (doc_id)
 """

@@ -40,6 +40,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
@@ -53,7 +59,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_license_scans, op4_html_extraction, op5_source_mixing, op6_warc, op8_document_fingerprints, op9_media_columns)
+    f.__name__: f for f in (op1_toxicity, op2_license_scans, op4_html_extraction, op5_source_mixing, op6_warc, op7_ngram_jaccard_join, op8_document_fingerprints, op9_media_columns)
 }
 
 ORACLES: dict[str, str] = {"op2_license_scans": licenses.oracle()}

@@ -58,8 +58,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removal_digest
+
+    return removal_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_license_scans, op4_html_extraction, op5_source_mixing, op6_warc, op7_ngram_jaccard_join, op8_document_fingerprints, op9_media_columns)
+    f.__name__: f for f in (op1_toxicity, op2_license_scans, op4_html_extraction, op5_source_mixing, op6_warc, op7_ngram_jaccard_join, op8_document_fingerprints, op9_media_columns, op10_suffix_array_dedup)
 }
 
 ORACLES: dict[str, str] = {"op2_license_scans": licenses.oracle()}

@@ -22,6 +22,12 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import page_texts
 
@@ -65,7 +71,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_license_scans, op4_html_extraction, op5_source_mixing, op6_warc, op7_ngram_jaccard_join, op8_document_fingerprints, op9_media_columns, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_license_scans, op3_sentencepiece, op4_html_extraction, op5_source_mixing, op6_warc, op7_ngram_jaccard_join, op8_document_fingerprints, op9_media_columns, op10_suffix_array_dedup)
 }
 
 ORACLES: dict[str, str] = {"op2_license_scans": licenses.oracle()}

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 #: Most labelled documents that training reads, those with the smallest hashed ids; their texts come
 #: to the driver, at most SAMPLE_CHARS code points of them. Everything that is scored is read whole.
-SAMPLE_DOCS, SAMPLE_CHARS = 16_384, 64 << 20
+SAMPLE_DOCS, SAMPLE_CHARS = 8_192, 24 << 20
 #: Words kept as features, and the fewest training documents that hold one.
 FEATURES, MIN_DOCS = 4096, 4
 STEPS, RATE, DECAY, SEED = 300, 0.1, 1e-3, 7
@@ -71,19 +71,20 @@ def fit(texts: list[str], labels: list[int], features: int = FEATURES, min_docs:
     if not len(y) or y.min() == y.max():
         return Model(bias=-40.0 if not len(y) or y.max() == 0 else 0.0)
     present, toxic = Counter(), Counter()
-    bags = [[set(_TOKEN.findall(s)) for s in _SENTENCE.findall(t.lower())] for t in texts]
-    for bag, label in zip(bags, labels, strict=True):
-        words = set().union(*bag)
+    for t, label in zip(texts, labels, strict=True):
+        words = set(_TOKEN.findall(t.lower()))
         present.update(words)
         if label:
             toxic.update(words)
     rate = y.mean()
     scored = sorted(((abs(toxic[w] - n * rate) / np.sqrt(n * rate * (1 - rate)), w) for w, n in present.items() if n >= min_docs), key=lambda x: (-x[0], x[1]))
     index = {w: i for i, (z, w) in enumerate(scored[:features]) if z >= 3.0}
+    counts = {w: (toxic[w], present[w]) for w in index}
+    del present, toxic, scored
     docs, rows, words, plain = [], [], [], np.zeros(len(y))
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            hits = [index[w] for w in sentence if w in index]
+    for d, t in enumerate(texts):
+        for sentence in _SENTENCE.findall(t.lower()):
+            hits = [index[w] for w in set(_TOKEN.findall(sentence)) if w in index]
             if hits:
                 rows += [len(docs)] * len(hits)
                 words += hits
@@ -94,7 +95,7 @@ def fit(texts: list[str], labels: list[int], features: int = FEATURES, min_docs:
     # what the words say at the start: smoothed log odds, halved, as several often speak together
     w, bias = np.zeros(len(index)), -8.0
     for word, i in index.items():
-        t, n = toxic[word], present[word]
+        t, n = counts[word]
         w[i] = max(0.0, np.log((t + rate) / (n - t + 1 - rate))) * 2
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
@@ -136,23 +137,24 @@ def score_documents(documents: DataFrame, model: Model, keep: list[str] | None =
     code points. A null or empty text scores 0."""
     keep = keep if keep is not None else [c for c in documents.columns if c not in ("score", "spans")]
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most FEATURES words
+    shared = spark.sparkContext.broadcast((model.weights, model.bias))  # at most FEATURES words
     schema = StructType(list(documents.select(*keep).schema.fields)).add("score", "double")
     if sentences:
         span = StructType().add("start", "integer").add("end", "integer").add("score", "double")
         schema = schema.add("spans", ArrayType(span))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
-    def located(text: str | None) -> list[dict]:
-        spans, z = shared.value.logits(text or "")
+    def located(scorer: Model, text: str | None) -> list[dict]:
+        spans, z = scorer.logits(text or "")
         return [{"start": a, "end": b, "score": float(1 / (1 + np.exp(-x)))} for (a, b), x in zip(spans, z, strict=True) if x >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Model(*shared.value)
         for b in batches:
             texts = [x.as_py() for x in b.column("_text")]
-            more = [pa.array([shared.value.score(t) for t in texts], pa.float64())]
+            more = [pa.array([scorer.score(t) for t in texts], pa.float64())]
             if sentences:
-                more.append(pa.array([located(t) for t in texts], kind))
+                more.append(pa.array([located(scorer, t) for t in texts], kind))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *more], [*keep, "score", *["spans"] * sentences])
 
     return documents.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)

@@ -163,29 +163,34 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     cut = words.select("*", F.explode(spans).alias("x")).select("word", *others, F.col("x.start").alias("start"), F.col("x.end").alias("end"))
     cut = cut.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("end") - F.col("start")))
     hits = cut.join(F.broadcast(table(words.sparkSession, model)), "piece", "left")
+    hits = hits.filter("id is not null or (start = 0 and end = 1)")  # a word without pieces keeps a row
     edge = F.when(F.col("id").isNotNull(), F.struct("start", "end", "score", "id"))
     return hits.groupBy("word").agg(F.collect_list(edge).alias("edges"), *(F.first(c).alias(c) for c in others))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fold_merges(edges: Column, n: Column) -> Column:
     """Symbol starts after BPE: each step joins the two neighbouring symbols whose union has the best
     score, the leftmost of equals, until no union is a piece."""
-    longer = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+    ranked = F.array_sort(F.transform(F.filter(edges, lambda e: e["end"] - e["start"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["end"].alias("end"))))
+
+    def joined(state: Column, longer: Column) -> Column:
+        # a union of two neighbours: from the symbol at place p to the one at place p + 2
+        place = lambda at: F.array_position(state, at).cast("int")
+        fits = lambda e: (place(e["start"]) > 0) & (F.get(state, place(e["start"]) + 1) == e["end"])
+        without = lambda e: _let(F.get(state, place(e["start"])), lambda mid: F.filter(state, lambda s: s != mid))
+        # -1 at the end: nothing more fits
+        return _let(F.get(F.filter(longer, fits), 0), lambda e: F.when(e.isNull(), F.concat(state, F.array(F.lit(-1)))).otherwise(without(e)))
 
-    def step(state: Column, _: Column) -> Column:
-        # a union of two neighbours: from the symbol at place p to the symbol at place p + 2
-        place = lambda at: F.array_position(state, at)
-        fits = F.filter(longer, lambda e: (place(e["start"]) > 0) & (place(e["end"]) == place(e["start"]) + 2))
-        best = F.aggregate(
-            F.transform(fits, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"))),
-            F.struct(F.lit(float("-inf")).alias("score"), F.lit(1).alias("left")),
-            lambda a, x: F.greatest(a, x),
-        )
-        left = best["left"]
-        return F.when(left > 0, state).otherwise(F.filter(state, lambda s, i: i != place(-left).cast("int")))
+    def all_steps(longer: Column) -> Column:
+        step = lambda state, _: F.when(F.element_at(state, -1) < 0, state).otherwise(joined(state, longer))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
 
-    start = F.sequence(F.lit(0), n)
-    return F.when(F.size(longer) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step))
+    return F.filter(_let(ranked, all_steps), lambda x: x >= 0)
 
 
 def fold_best_path(edges: Column, n: Column, unk_score: float) -> Column:
@@ -203,8 +208,12 @@ def fold_best_path(edges: Column, n: Column, unk_score: float) -> Column:
 
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("left")))
     table_ = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    back = lambda path, _: F.when(F.get(path, 0) == 0, path).otherwise(F.concat(F.array(-F.get(table_, F.get(path, 0))["left"]), path))
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
+
+    def walked(scores: Column) -> Column:
+        back = lambda path, _: F.when(F.get(path, 0) == 0, path).otherwise(F.concat(F.array(-F.get(scores, F.get(path, 0))["left"]), path))
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
+
+    return _let(table_, walked)
 
 
 def segmented(words: DataFrame, model: PieceModel) -> DataFrame:

@@ -10,6 +10,7 @@ to a block and no block is used more often than a source may be repeated.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import WORD, word_count
 
 BLOCK_WORDS = 32
 SHARD_BLOCKS = 4096
@@ -79,7 +80,7 @@ def _key(*parts: object) -> int:
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
 def packed(docs: DataFrame, n_docs: int, seed: int = SEED) -> DataFrame:
@@ -93,9 +94,9 @@ def packed(docs: DataFrame, n_docs: int, seed: int = SEED) -> DataFrame:
     docs = docs.withColumn("_hash", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)).cast("int"))
     sums = docs.groupBy("source", "_bucket").agg(F.sum("size").alias("n"))
     base = sums.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), (F.sum("n").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("n")).alias("_base"))
-    inner = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("_before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return docs.join(base, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).select("doc_id", "source", "size", (F.col("_base") + F.col("_before")).alias("start"))
+    return docs.join(base, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).select("doc_id", "source", "size", "digest", (F.col("_base") + F.col("_before")).alias("start"))
 
 
 def block_quotas(sizes: dict, targets: dict, block: int) -> dict:
@@ -205,7 +206,7 @@ class Mix:
         block = F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))
         first = F.col("block") * block_words
         self.pieces = self.docs.filter("size > 0").withColumn("block", block).select(
-            "doc_id", "source_no", "block", "start", "size",
+            "doc_id", "digest", "source_no", "block", "start", "size",
             F.greatest(first - F.col("start"), F.lit(0)).alias("low"),
             F.least(first + block_words - F.col("start"), F.col("size")).alias("high"),
         )
@@ -225,3 +226,49 @@ class Mix:
 def mixed(documents: DataFrame) -> DataFrame:
     """One row per document; see :class:`Mix`. An empty table gives an empty result."""
     return Mix(documents).taken()
+
+
+_WORDS = re.compile(WORD)
+
+
+def taken_texts(text: str, pieces: list[tuple[int, int, int]]) -> list[str]:
+    """For (low, high, uses) ranges of a text's words the texts that are taken: the r-th holds the
+    ranges used r times or more, neighbouring ones with the blanks between them as they stand."""
+    spans = [m.span() for m in _WORDS.finditer(text)]
+    out = []
+    for r in range(1, max((u for _, _, u in pieces), default=0) + 1):
+        runs: list[list[int]] = []
+        for low, high, uses in sorted(pieces):
+            if uses < r:
+                continue
+            if runs and runs[-1][1] == low:
+                runs[-1][1] = high
+            else:
+                runs.append([low, high])
+        whole = runs == [[0, len(spans)]]
+        out.append(text if whole else "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+    return out
+
+
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """The mix as rows of ``documents``: as many rows of a document as its most used block has uses,
+    each with the words that are taken that often; documents of which nothing is taken go. n_chars,
+    where there is such a column, is counted anew. Rows that agree in id, source and text are taken
+    alike."""
+    mix = Mix(documents, **options)
+    uses = mix.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+    got = mix.pieces.join(uses, ["source_no", "block"]).groupBy("doc_id", "digest", "source_no", "start").agg(F.collect_list(F.struct("low", "high", "uses")).alias("pieces"))
+    got = got.groupBy("doc_id", "digest", "source_no").agg(F.min_by("pieces", "start").alias("_pieces"))
+    names = mix.docs.select("source", "source_no").distinct()
+    got = got.join(names, "source_no").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("source").alias("_source"), "_pieces")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_digest"))
+    rows = documents.join(got, same).drop("_id", "_digest", "_source")
+
+    @F.pandas_udf("array<string>")
+    def cut(text: pd.Series, pieces: pd.Series) -> pd.Series:
+        return pd.Series([taken_texts(t, [(p["low"], p["high"], p["uses"]) for p in ps]) for t, ps in zip(text, pieces, strict=True)])
+
+    rows = rows.withColumn("text", F.explode(cut("text", "_pieces")))
+    if "n_chars" in documents.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return rows.select(*documents.columns)

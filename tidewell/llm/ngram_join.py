@@ -14,7 +14,7 @@ proportion to its members, and no link that could join two components is lost.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words_of
@@ -147,8 +147,14 @@ def ngram_components(documents: DataFrame) -> DataFrame:
 
 
 def keep_representatives(documents: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents less near duplicates: of each component the row of the smallest doc_id stays,
-    of several such rows the one whose text comes first; rows without an id or words all stay."""
+    """The documents less near duplicates: of each component the row of the smallest doc_id stays, of
+    several rows with one doc_id the one whose text comes first. Rows without an id all stay."""
     found = JaccardJoin(documents, words, num, den).membership()
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    kept = documents.join(gone, "doc_id", "left_anti")
+    twice = materialize(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "ngram-twice")
+    if twice.limit(1).count() == 0:
+        return kept
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*(c for c in documents.columns if c != "text"))))
+    first = kept.join(twice, "doc_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return kept.join(twice, "doc_id", "left_anti").unionByName(first).select(*documents.columns)

@@ -94,7 +94,8 @@ def shuffled(df: DataFrame, keys: list[str], value: str, seed: int, ident: list[
 def acf(df: DataFrame, value: str, lags: int, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
     """Autocorrelation of each lag from complete pairs, with the band 2 / sqrt(pairs)."""
     w = Window.partitionBy(entity).orderBy(date)
-    pairs = df.select(entity, F.col(value).alias("_x"), F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.lag(value, k).over(w).alias("y")) for k in range(1, lags + 1)))).alias("_p"))
+    lagged = df.select(F.col(value).alias("_x"), *(F.lag(value, k).over(w).alias(f"_y{k}") for k in range(1, lags + 1)))
+    pairs = lagged.select("_x", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_y{k}").alias("y")) for k in range(1, lags + 1)))).alias("_p"))
     out = pairs.filter("_x is not null and _p.y is not null").groupBy(F.col("_p.lag").alias("lag")).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_p.y").alias("acf"))
     return out.withColumn("band", 2 / F.sqrt("n"))
 

@@ -519,9 +519,10 @@ def ols_beta(spark: SparkSession, sf: str) -> DataFrame:
     return fit.select("l_returnflag", n.cast("bigint").alias("n"), F.round(slope, 5).alias("slope"), F.round((sy - slope * sx) / n, 3).alias("intercept"))
 
 
-@query(f"{ctes('weekly')}, e AS (SELECT *, quantile_cont(close, 0.05) OVER p AS a, quantile_cont(close, 0.95) OVER p AS b FROM weekly WINDOW p AS (PARTITION BY trade_date)) SELECT entity_id, trade_date, round(greatest(least(close, b), a), 8) AS close FROM e")
+@query(f"{ctes('weekly')}, e AS (SELECT *, quantile_cont(close, 0.05) OVER p AS a, quantile_cont(close, 0.95) OVER p AS b FROM weekly WINDOW p AS (PARTITION BY trade_date)) SELECT entity_id, trade_date, CASE WHEN greatest(least(close, b), a) < close THEN 'high' WHEN greatest(least(close, b), a) > close THEN 'low' ELSE 'in' END AS side FROM e")
 def winsorised(spark: SparkSession, sf: str) -> DataFrame:
-    return D.weekly(spark, sf).select("entity_id", "trade_date", F.round(X.winsorised(["trade_date"], "close", 0.05, 0.95), 8).alias("close"))
+    w = D.weekly(spark, sf).withColumn("clipped", X.winsorised(["trade_date"], "close", 0.05, 0.95))
+    return w.select("entity_id", "trade_date", F.when(F.col("clipped") < F.col("close"), "high").when(F.col("clipped") > F.col("close"), "low").otherwise("in").alias("side"))
 
 
 # ---- fundamentals

@@ -416,7 +416,7 @@ def without_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
     @F.pandas_udf("string")
     def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, s) for t, s in zip(text, spans, strict=True)])
+        return pd.Series([None if t is None else cut(t, s) for t, s in zip(text, spans, strict=True)])
 
     rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shortened("text", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))))
     if "n_chars" in columns:

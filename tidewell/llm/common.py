@@ -33,7 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing will read them again, and let the
+    shuffle files of the jobs before go."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._table_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    free_shuffles(frames[0].sparkSession)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     label's own label, so chains halve; every round ends in a written table. A hub's neighbours are
     combined before the shuffle. Self links and repeated links are fine; an empty table gives none.
     """
-    spark = links.sparkSession
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     both = materialize(both, "links")
     labels = materialize(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), "labels")
@@ -25,8 +24,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("component").alias("jump"))
         stepped = lower.join(up, "label", "left").select("node", F.least("label", F.coalesce("jump", "label")).alias("component"), "was")
         stepped = materialize(stepped, "labels")
-        labels = stepped.select("node", "component")
-        free_shuffles(spark)
+        discard(labels)
+        labels = stepped
         if stepped.filter("component <> was").limit(1).count() == 0:
-            return labels
+            discard(both)
+            return stepped.select("node", "component")
     raise RuntimeError("components did not settle")

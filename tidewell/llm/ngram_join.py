@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import discard, materialize, words_of
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,15 +62,17 @@ class JaccardJoin:
         top = F.lit(-(2**63) + int(self.zone * (2**64 - 1)))
         sets = _with_sets(self.docs, self.words)
         facts = sets.select("doc_id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2"), F.filter("tokens", lambda x: x <= top).alias("zone"))
-        #: doc_id, n, k1, k2 (and the n-grams of the zone): one row a document.
-        self.facts = materialize(facts, "ngram-facts")
+        zones = materialize(facts, "ngram-zones")
+        #: doc_id, n, k1, k2: one row a document.
+        self.facts = materialize(zones.drop("zone"), "ngram-facts")
         classes = self.facts.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.min("n").alias("n"))
         self.classes = materialize(classes, "ngram-classes")
         # n-grams of the zone that no other row holds, counted for their only holder
-        alone = self.facts.filter("n > 0").select(F.explode("zone").alias("token"), "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"))
+        alone = zones.filter("n > 0").select(F.explode("zone").alias("token"), "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"))
         lonely = alone.filter("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
         kept = self.classes.join(lonely.withColumnRenamed("doc_id", "cid"), "cid", "left").filter(F.coalesce("u", F.lit(0)) <= self._spare(F.col("n"))).select("cid")
         kept = materialize(kept, "ngram-kept")
+        discard(zones)
         chosen = self.docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, F.col("doc_id") == F.col("cid"), "left_semi")
         # rows may repeat a doc_id: one set for each class
         own = _with_sets(chosen, self.words).select(F.col("doc_id").alias("cid"), "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2"))
@@ -86,8 +88,8 @@ class JaccardJoin:
         self.rows = materialize(prefix.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(self.den / self.num))).cast("int")), "ngram-prefixes")
         links = materialize(self.verified(self._typical()), "ngram-links")
         labels = components(links)
-        more = self.verified(self._across(labels))
-        more = materialize(more, "ngram-links")
+        more = materialize(self.verified(self._across(labels)), "ngram-links")
+        discard(kept, self.sets, self.rows)
         #: a < b: pairs of classes whose similarity was found to reach the threshold.
         self.links = links.unionByName(more).distinct()
         self.labels = components(self.links) if more.limit(1).count() else labels
@@ -112,7 +114,6 @@ class JaccardJoin:
         """Every possible candidate pair of different components. Of a bucket's pairs one side is
         always outside the component that holds most of it."""
         named = self.rows.join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        named = materialize(named, "ngram-named")
         sizes = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
         main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("top.component").alias("main"))
         mixed = named.join(main, "token")

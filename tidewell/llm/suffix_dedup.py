@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize
+from .common import discard, free_shuffles, materialize
 
 LEAST = 100
 KGRAM = 32
@@ -310,7 +310,7 @@ class SuffixDedup:
         by_doc = spans.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         #: id, digest, spans: merged (start, end) byte spans of documents that lose some but are no whole copies.
         self.spans = materialize(self._merged(by_doc), "suffix-spans")
-        free_shuffles(self.spark)
+        discard(rows, kinds, wanted, texts)
 
     def _by_suffix_array(self, texts: DataFrame) -> DataFrame:
         least = self.least

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 #: Very frequent words of the four languages handled. Fixed values.
 STOP_WORDS = {
-    "en": "the of and to in a is that it for was on are as with be by this from at or an not have they which you were her his she he we but had has their all one there been if more when who will no out so what up can about into than them only other some could time these two may then do first any my now such like our over me even most made after also did many before must through",
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son aux cette mais comme on tout nous sa fait été aussi leur bien peut ces y elle deux si",
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde está",
+    "en": "the of and to in a is that it for was on are as with be by this from at or an not have they which you were her his she he we but had has their all one there been if more when who will no out so what",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son aux cette mais comme on tout nous sa fait été aussi leur bien",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos",
 }
 _STOPS = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 

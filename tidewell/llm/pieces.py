@@ -24,9 +24,9 @@ from .common import free_shuffles, materialize
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of more code points are folded by the same rules in Python, as a fold over an array costs its square.
-LONG_WORD = 64
+LONG_WORD = 60
 #: Text bytes of one block of documents.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -72,7 +72,8 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             return r"[\s\S]+"
         cut = "".join(f"\\x{ord(c):02x}" for c in "\t\n\x0b\x0c\r" if c not in inner)
-        return f"[{cut}]|{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" if cut else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        parts = [f"[{cut}]"] * bool(cut) + [f"{SPACE}*[^{SPACE}{cut}]+", f"{SPACE}+"]
+        return "|".join(parts)
 
     @cached_property
     def unk_score(self) -> float:
@@ -158,9 +159,8 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     beyond the words' own partitioning nothing is shuffled."""
     others = [c for c in words.columns if c != "word"]
     n = F.length("word")
-    ends = lambda i: F.transform(F.sequence(i + 1, F.least(i + model.longest, n)), lambda j: F.struct(i.alias("start"), j.alias("end")))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), ends))
-    cut = words.select("*", F.explode(spans).alias("x")).select("word", *others, F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    starts = words.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    cut = starts.select("word", *others, "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
     cut = cut.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("end") - F.col("start")))
     hits = cut.join(F.broadcast(table(words.sparkSession, model)), "piece", "left")
     hits = hits.filter("id is not null or (start = 0 and end = 1)")  # a word without pieces keeps a row
@@ -175,22 +175,27 @@ def _let(value: Column, body) -> Column:
 
 def fold_merges(edges: Column, n: Column) -> Column:
     """Symbol starts after BPE: each step joins the two neighbouring symbols whose union has the best
-    score, the leftmost of equals, until no union is a piece."""
-    ranked = F.array_sort(F.transform(F.filter(edges, lambda e: e["end"] - e["start"] > 1), lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["end"].alias("end"))))
+    score, the leftmost of equals, until no union is a piece.
 
-    def joined(state: Column, longer: Column) -> Column:
-        # a union of two neighbours: from the symbol at place p to the one at place p + 2
-        place = lambda at: F.array_position(state, at).cast("int")
-        fits = lambda e: (place(e["start"]) > 0) & (F.get(state, place(e["start"]) + 1) == e["end"])
-        without = lambda e: _let(F.get(state, place(e["start"])), lambda mid: F.filter(state, lambda s: s != mid))
-        # -1 at the end: nothing more fits
-        return _let(F.get(F.filter(longer, fits), 0), lambda e: F.when(e.isNull(), F.concat(state, F.array(F.lit(-1)))).otherwise(without(e)))
+    The state is one number, a bit for each place where a symbol starts or the word ends. A union
+    fits if its two ends are such places and exactly one lies between."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda i: F.call_function("shiftleft", one, i)
+
+    def masks(e: Column) -> Column:
+        ends = bit(e["start"]) + bit(e["end"])
+        return F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), ends.alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("between"))
+
+    ranked = F.sort_array(F.transform(F.filter(edges, lambda e: e["end"] - e["start"] > 1), masks))
 
     def all_steps(longer: Column) -> Column:
-        step = lambda state, _: F.when(F.element_at(state, -1) < 0, state).otherwise(joined(state, longer))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+        fits = lambda state: lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["between"])) == 1)
+        joined = lambda state: lambda e: F.when(e.isNull(), -state).otherwise(state.bitwiseAND(F.bitwise_not(e["between"])))
+        # below zero: nothing more fits
+        step = lambda state, _: F.when(state < 0, state).otherwise(_let(F.get(F.filter(longer, fits(state)), 0), joined(state)))
+        return F.abs(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), bit(n + 1) - one, step))
 
-    return F.filter(_let(ranked, all_steps), lambda x: x >= 0)
+    return _let(_let(ranked, all_steps), lambda state: F.filter(F.sequence(F.lit(0), n), lambda i: state.bitwiseAND(bit(i)) != 0))
 
 
 def fold_best_path(edges: Column, n: Column, unk_score: float) -> Column:
@@ -226,18 +231,20 @@ def segmented(words: DataFrame, model: PieceModel) -> DataFrame:
     cut = short.withColumn("cuts", cuts)
     single = lambda char: F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda i: F.conv(F.hex(F.substring(char.cast("binary"), i, F.lit(1))), 16, 10).cast("int"))
 
-    def ids_of(start: Column, i: Column) -> Column:
-        end = F.get(F.col("cuts"), i + 1)
-        hit = F.get(F.filter("edges", lambda e: (e["start"] == start) & (e["end"] == end)), 0)["id"]
-        if model.byte_ids:
-            known = F.array(*map(F.lit, model.byte_ids))
-            other = F.transform(single(F.substring(F.col("word"), start + 1, F.lit(1))), lambda b: F.get(known, b))
-        else:
-            other = F.array(F.lit(model.unk_id))
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(other)
-
-    parts = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), ids_of)
-    done = cut.select("word", F.flatten(parts).alias("ids"), *others)
+    def parts_of(cuts: Column) -> Column:
+        def ids_of(start: Column, i: Column) -> Column:
+            # edges are found by one number for both their ends
+            hit = F.get(F.col("edges.id"), F.array_position(F.col("keys"), start * 1024 + F.get(cuts, i + 1)).cast("int") - 1)
+            if model.byte_ids:
+                known = F.array(*map(F.lit, model.byte_ids))
+                other = F.transform(single(F.substring(F.col("word"), start + 1, F.lit(1))), lambda b: F.get(known, b))
+            else:
+                other = F.array(F.lit(model.unk_id))
+            return F.when(hit.isNotNull(), F.array(hit)).otherwise(other)
+
+        return F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), ids_of)
+
+    done = cut.withColumn("keys", F.transform("edges", lambda e: e["start"] * 1024 + e["end"])).select("word", F.flatten(_let(F.col("cuts"), parts_of)).alias("ids"), *others)
 
     @F.pandas_udf("array<int>")
     def folded(column):

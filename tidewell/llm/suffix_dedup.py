@@ -12,7 +12,7 @@ the maximal repeats, given with all their occurrences.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,9 +28,11 @@ KGRAM = 32
 STRETCH = 256
 #: Bytes hashed at a time, and stretches of one bucket that one suffix array takes; larger buckets
 #: compare their windows by hash in an aggregate.
-CHUNK, BUCKET = 1 << 20, 4096
+CHUNK, BUCKET = 1 << 18, 1024
 #: Bits of the prefilters, which only spare work: what they let through is compared exactly.
 FILTER_BITS = 1 << 26
+#: Spreads the starts of a document's stretches over a prefilter.
+SPREAD = 2654435761
 #: Rows up to which the spans to remove are broadcast; beyond it documents are joined by id.
 BROADCAST_ROWS = 500_000
 
@@ -112,7 +114,7 @@ class Hasher:
         return {"text": text, "start": begin - offsets[text], "length": length, "key": key.view(np.int64), "same": same.view(np.int64), "ties": ties, "marks": marks.view(np.int64)}
 
 
-def chunked(ids: list, texts: list[bytes], least: int, chunk: int = CHUNK) -> Iterator[tuple[list, list[int], list[bytes]]]:
+def chunked(ids: Iterable, texts: Iterable[bytes], least: int, chunk: int = CHUNK) -> Iterator[tuple[list, list[int], list[bytes]]]:
     """Runs of about ``chunk`` bytes: ids, offsets within their texts, pieces. Longer texts are cut
     into pieces that overlap by one byte less than a window."""
     held: tuple[list, list, list] = ([], [], [])
@@ -146,36 +148,66 @@ def _common(x: bytes, y: bytes) -> int:
     return low
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(text number, start), ...]) of every maximal repeat of at least ``least`` bytes:
-    strings with all their occurrences, two or more, that no byte extends to the left or right
-    without losing one. Matches do not cross texts; overlapping occurrences count."""
+def intervals(texts: list[bytes], least: int, rank=None) -> Iterator[tuple[int, int, int, bool, list[int]]]:
+    """The tree of common-prefix intervals of the texts' suffixes, children before parents.
+
+    Yields (length, first row, last row, left-diverse, losers) over the suffix array that the first
+    item, a list of (text number, start) by row, gives. ``rank`` orders rows; of each interval the
+    least row goes on to the parent, and the others that came from its children are its losers, so
+    that every row loses once: in the longest common prefix that another, lesser row shares.
+    """
     suffixes = sorted((t[i:], n, i) for n, t in enumerate(texts) for i in range(len(t) - least + 1))
+    rows = [(n, i) for _, n, i in suffixes]
+    yield 0, 0, -1, False, rows  # type: ignore[misc]
+    if not rows:
+        return
     lcp = [_common(a[0], b[0]) if a[0][:least] == b[0][:least] else 0 for a, b in zip(suffixes, suffixes[1:], strict=False)] + [0]
-    # intervals that are open: their common prefix and first row
-    stack: list[tuple[int, int]] = []
+    key = [rank(x) if rank else j for j, x in enumerate(rows)]
+    # the byte before each row; a text's first byte differs from every other
+    byte = [texts[n][i - 1] if i else -1 - j for j, (n, i) in enumerate(rows)]
+    # open intervals: common prefix, first row, the byte before (None: several), least rows of what closed within
+    stack: list[list] = []
     for row, common in enumerate(lcp):
-        left = row
+        left, best, before = row, row, byte[row]
         while stack and stack[-1][0] > common:
-            length, left = stack.pop()
-            found = [(n, i) for _, n, i in suffixes[left : row + 1]]
-            before = {texts[n][i - 1] if i else -1 - j for j, (n, i) in enumerate(found)}
-            if len(before) > 1:
-                yield length, found
-        if common >= least and (not stack or stack[-1][0] < common):
-            stack.append((common, left))
+            length, left, came, mins = stack.pop()
+            mins.append(best)
+            before = before if came == before else None
+            best = min(mins, key=key.__getitem__)
+            yield length, left, row, before is None, [m for m in mins if m != best]
+        if common < least:
+            continue
+        if stack and stack[-1][0] == common:
+            stack[-1][3].append(best)
+            if stack[-1][2] != before:
+                stack[-1][2] = None
+        else:
+            stack.append([common, left, before, [best]])
+
+
+def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(text number, start), ...]) of every maximal repeat of at least ``least`` bytes:
+    strings with all their occurrences, two or more, that no byte extends to the left or right
+    without losing one. Matches do not cross texts; overlapping occurrences count."""
+    tree = intervals(texts, least)
+    rows = next(tree)[4]
+    for length, first, last, diverse, _ in tree:
+        if diverse:
+            yield length, rows[first : last + 1]
 
 
 def repeated_spans(places: list[tuple], texts: list[bytes], least: int) -> list[list[tuple[int, int]]]:
     """For each text the (start, end) covered by repeats that occur earlier; ``places`` order the
-    texts, as (document key..., offset)."""
+    texts, as (document key..., offset). Only maximal repeats mark: an interval whose occurrences all
+    follow one byte is marked with that byte, by the interval that begins there."""
+    tree = intervals(texts, least, lambda x: (*places[x[0]][:-1], places[x[0]][-1] + x[1]))
+    rows = next(tree)[4]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    place = lambda x: (*places[x[0]][:-1], places[x[0]][-1] + x[1])
-    for length, found in maximal_repeats(texts, least):
-        first = min(map(place, found))
-        for x in found:
-            if place(x) != first:
-                out[x[0]].append((x[1], x[1] + length))
+    for length, _, _, diverse, losers in tree:
+        if diverse:
+            for j in losers:
+                n, i = rows[j]
+                out[n].append((i, i + length))
     return [merged(x) for x in out]
 
 
@@ -234,7 +266,7 @@ class SuffixDedup:
             hasher = Hasher(least, kgram)
             for b in batches:
                 ids, digests = b.column("id").to_numpy(), b.column("digest").to_numpy()
-                for rows, offsets, pieces in chunked(list(range(len(ids))), [x.as_py() for x in b.column("bytes")], least):
+                for rows, offsets, pieces in chunked(range(len(ids)), (x.as_py() for x in b.column("bytes")), least):
                     s = hasher.stretches(pieces)
                     if what == "marks":
                         yield pa.RecordBatch.from_arrays([pa.array(s["marks"])], ["mark"])
@@ -251,36 +283,29 @@ class SuffixDedup:
     def _texts_of(self, wanted: DataFrame) -> DataFrame:
         """id, digest, start, length, key and the bytes of the wanted stretches: a scan by which only
         their own documents' places pass, then an exact join."""
-        place = F.xxhash64("id", "digest", "start")
-        table = _filter_of(wanted.select(place.alias("p")), "p", FILTER_BITS)
-        docs = _filter_of(wanted.select(F.xxhash64("id", "digest").alias("p")), "p", FILTER_BITS)
-        keys = _filter_of(wanted, "key", FILTER_BITS)
-        shared = self.spark.sparkContext.broadcast((docs, keys))
+        place = F.col("digest").bitwiseXOR(F.col("start") * F.lit(SPREAD))
+        places = _filter_of(wanted.select(place.alias("p")), "p", FILTER_BITS)
+        docs, keys = _filter_of(wanted, "digest", FILTER_BITS), _filter_of(wanted, "key", FILTER_BITS)
+        shared = self.spark.sparkContext.broadcast((docs, keys, places))
         least, kgram = self.least, self.kgram
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher(least, kgram)
-            of_docs, of_keys = shared.value
+            of_docs, of_keys, of_places = shared.value
             for b in batches:
-                ids, digests, ok = b.column("id").to_numpy(), b.column("digest").to_numpy(), _passes(of_docs, b.column("place").to_numpy())
-                at = np.flatnonzero(ok).tolist()
+                ids, digests = b.column("id").to_numpy(), b.column("digest").to_numpy()
+                at = np.flatnonzero(_passes(of_docs, digests)).tolist()
                 column = b.column("bytes")
-                for rows, offsets, pieces in chunked(at, [column[i].as_py() for i in at], least):
+                for rows, offsets, pieces in chunked(at, (column[i].as_py() for i in at), least):
                     s = hasher.stretches(pieces)
-                    hit = np.flatnonzero(_passes(of_keys, s["key"]))
-                    row = np.array(rows)[s["text"][hit]]
+                    start = s["start"] + np.array(offsets, np.int64)[s["text"]]
+                    places = digests[np.array(rows)[s["text"]]] ^ (start * SPREAD)
+                    hit = np.flatnonzero(_passes(of_keys, s["key"]) & _passes(of_places, places))
+                    row, start = np.array(rows)[s["text"][hit]], start[hit]
                     cut = [pieces[t][a : a + n] for t, a, n in zip(s["text"][hit].tolist(), s["start"][hit].tolist(), s["length"][hit].tolist(), strict=True)]
-                    start = s["start"][hit] + np.array(offsets, np.int64)[s["text"][hit]]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(digests[row]), pa.array(start), pa.array(cut, pa.binary())], ["id", "digest", "start", "bytes"])
 
-        found = self.first.withColumn("place", F.xxhash64("id", "digest")).mapInArrow(run, "id long, digest long, start long, bytes binary")
-        words = self.spark.sparkContext.broadcast(table)
-
-        def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(_passes(words.value, b.column("place").to_numpy()))).select(["id", "digest", "start", "bytes"])
-
-        found = found.withColumn("place", place).mapInArrow(narrowed, "id long, digest long, start long, bytes binary")
+        found = self.first.mapInArrow(run, "id long, digest long, start long, bytes binary")
         return found.join(wanted, ["id", "digest", "start"])
 
     def _run(self) -> None:

@@ -413,6 +413,23 @@ def test_repeats_against_brute_force(docs, bucket, monkeypatch):
     assert got == brute_removed(corpus())
 
 
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_repeats_with_equal_rows(spark, bucket, monkeypatch):
+    r = random.Random(13)
+    shared = [prose(60, r) for _ in range(4)]
+    rows = [(i, f"{prose(20, r)} {r.choice(shared)[i:]} {prose(20, r)} {r.choice(shared)}") for i in range(12)]
+    rows += [(None, f"{shared[0][3:]} {prose(9, r)} {shared[1][5:]}")]
+    df = spark.createDataFrame(rows + rows[:5] + rows[3:7] + rows[-1:] * 2, "doc_id long, text string")
+    real = suffix_dedup.SuffixDedup
+    monkeypatch.setattr(suffix_dedup, "SuffixDedup", lambda d: real(d, bucket=bucket))
+    got = collections.defaultdict(list)
+    for x in suffix_dedup.removal_digest(df).collect():
+        got[-1 if x.doc_id is None else x.doc_id].append(tuple(x)[1:])
+    want = brute_removed([(-1 if d is None else d, t) for d, t in rows])
+    assert {d: set(v) for d, v in got.items()} == {d: {v} for d, v in want.items()}
+    assert [len(got[d]) for d in (0, 3, 4, 6, 7, -1)] == [2, 3, 3, 2, 1, 3]
+
+
 def test_repeats_of_an_empty_table(empty):
     assert suffix_dedup.removal_digest(empty).count() == 0
 

@@ -316,6 +316,14 @@ class SuffixDedup:
         self.copies = materialize(later, "suffix-copies")
         n = self.copies.count()
         self.first = self.long.join(F.broadcast(self.copies) if n <= BROADCAST_ROWS else self.copies, ["id", "digest"], "left_anti") if n else self.long
+        # equal rows are one document: two would be each other's repeat and lose the first occurrence too
+        equal = materialize(heads.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "digest"), "suffix-equal")
+        n = equal.count()
+        single = None
+        if n:
+            few = F.broadcast(equal) if n <= BROADCAST_ROWS else equal
+            single = materialize(self.first.join(few, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), "suffix-single")
+            self.first = self.first.join(few, ["id", "digest"], "left_anti").unionByName(single)
         marks = self._scan(None, "marks").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
         table = _filter_of(marks, "mark", FILTER_BITS)
         free_shuffles(self.spark)
@@ -335,7 +343,7 @@ class SuffixDedup:
         by_doc = spans.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         #: id, digest, spans: merged (start, end) byte spans of documents that lose some but are no whole copies.
         self.spans = materialize(self._merged(by_doc), "suffix-spans")
-        discard(rows, kinds, wanted, texts)
+        discard(rows, kinds, wanted, texts, equal, *([single] if single is not None else []))
 
     def _by_suffix_array(self, texts: DataFrame) -> DataFrame:
         least = self.least

@@ -317,6 +317,16 @@ def test_components_of_a_chain(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_components_of_shuffled_chains(spark):
+    r = random.Random(11)
+    ids = r.sample(range(5000), 1400)
+    chains = ids[:1000], ids[1000:1399]
+    links = [(a, b) if r.random() < 0.5 else (b, a) for chain in chains for a, b in zip(chain, chain[1:])]
+    r.shuffle(links)
+    got = {x.node: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(chain) for chain in chains for x in chain}
+
+
 # ---- fingerprints
 
 

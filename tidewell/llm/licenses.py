@@ -1,12 +1,16 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each sentence is normalised and looked up among known licence
-sentences, and the sequence of their identifiers is matched against ordered rules. Everything
+A text is normalised, with a mark where a sentence or a line ends, known licence sentences are
+looked for between the marks, and the sequence of their identifiers is matched against ordered
+rules. A known sentence may run over any number of marks, so texts wrapped at any width and
+sentences with colons, semicolons and abbreviations are found whole. Everything
 happens within the row: no shuffle, and no text leaves its task.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,16 @@ SENTENCES = {
     "all rights reserved": "AllRights",
 }
 
+#: Sentences of the canonical texts, as they are printed, that run on beyond an entry of SENTENCES.
+CANONICAL = {
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""": "MitGrant",
+    """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""": "AsIs",
+}
+
 #: Ordered rules: the first whose identifiers stand in the sequence one after the other takes them
 #: away; later rules see what is left. Longer rules come first.
 RULES = (
@@ -78,12 +92,28 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _plain(sentence: str) -> str:
+    """What :func:`normalised` makes of a sentence of this module."""
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+#: Every known sentence, normalised: those of one line and the canonical ones.
+KNOWN = SENTENCES | {_plain(s): i for s, i in CANONICAL.items()}
+
+
+def marked(text: Column) -> Column:
+    """Lower case, letters and digits between single spaces, and a line feed wherever a sentence or line ends."""
+    t = F.regexp_replace(text, SENTENCE_END, "\n")
+    return F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z0-9\n]+", " "), " *\n[ \n]*", "\n")
+
+
 def _ids(text: Column, sentences: dict[str, str]) -> Column:
     known = F.array(*map(F.lit, sentences))
     names = F.array(*map(F.lit, sentences.values()))
-    place = lambda s: F.array_position(known, normalised(s)).cast("int")
-    found = F.filter(F.transform(F.split(text, SENTENCE_END), place), lambda i: i > 0)
-    return F.transform(found, lambda i: F.get(names, i - 1))
+    # from mark to mark, with or without marks between the words; the longest first, after a list's number or none
+    words = "|".join(s.replace(" ", "[ \n]") for s in sorted(sentences, key=len, reverse=True))
+    found = F.regexp_extract_all(F.trim(marked(text)), F.lit(rf"(?m)^(?:[0-9]{{1,2}} )?({words})$"), F.lit(1))
+    return F.transform(found, lambda s: F.get(names, F.array_position(known, F.replace(s, F.lit("\n"), F.lit(" "))).cast("int") - 1))
 
 
 def scan_licenses(documents: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
@@ -94,7 +124,7 @@ def scan_licenses(documents: DataFrame, text: str = "text", sentences: dict[str,
     Rules look at the sequence of known sentences: other sentences between them do not matter. A
     null or empty text gives empty arrays.
     """
-    sentences = sentences or SENTENCES
+    sentences = sentences or KNOWN
     body = F.coalesce(F.col(text), F.lit(""))
     empty = F.array().cast("array<string>")
     out = documents.withColumn("license_sentences", F.when(body.rlike(HINT), _ids(body, sentences)).otherwise(empty))
@@ -122,7 +152,8 @@ def document_licenses(documents: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan for DuckDB, from the same tables of sentences and rules."""
+    """The scan of one-line sentences for DuckDB, from SENTENCES and the same rules: sentences that
+    are wrapped, or cut by their own colons, are beyond it."""
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     left, hits = "seq", []
     for name, ids in RULES:

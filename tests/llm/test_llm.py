@@ -339,6 +339,33 @@ def test_salvage(packed):
     assert all(a["offset"] + a["length"] == b["offset"] for (_, a), (_, b) in zip(out, out[1:]))
 
 
+def _ids_and_gaps(data):
+    out = list(warc.salvage(data))
+    return [x["record_id"][10:-1] for k, x in out if k == "record"], [(x["offset"], x.get("inner_offset")) for k, x in out if k == "gap"]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_within_one_member(level):
+    r = random.Random(4)
+    plain = [_record(i, bytes(r.randrange(256) for _ in range(9000))) for i in range(8)]
+    pack = lambda x: gzip.compress(x, level, mtime=0)
+    wrong = list(plain)
+    wrong[2] = wrong[2].replace(b"Content-Length: 9000", b"Content-Length: 9001")
+    wrong[5] = wrong[5].replace(b"sha256:", b"sha256:0")
+    at = len(plain[0]) + len(plain[1])
+    assert _ids_and_gaps(pack(b"".join(wrong))) == (["0", "1", "3", "4", "6", "7"], [(0, at), (0, sum(map(len, wrong[:5])))])
+    whole, after = pack(b"".join(plain)), warc.gzip_member(_record(9, b"next"))
+    ids, gaps = _ids_and_gaps(whole[: len(whole) // 2])
+    assert ids in (["0", "1", "2"], ["0", "1", "2", "3"]) and gaps[-1] == (0, None)
+    # a wrong checksum: all of it can be read, and the member after it is found
+    broken = bytearray(whole)
+    broken[-8] ^= 1
+    out = list(warc.salvage(bytes(broken) + after))
+    assert [x["record_id"][10:-1] for k, x in out if k == "record"] == [*map(str, range(8)), "9"]
+    assert all("checks" in x["reason"] or "check" in x["reason"] for k, x in out[:9])
+    assert [(x["offset"], x["length"]) for k, x in out if k == "gap"] == [(0, len(whole))]
+
+
 def test_empty_member_is_gzip():
     assert gzip.decompress(warc.EMPTY_MEMBER) == b"" and len(warc.EMPTY_MEMBER) == 20
 

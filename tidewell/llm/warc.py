@@ -3,6 +3,7 @@
 Records are gzip members of their own, so that a damaged stretch costs the records it touches and
 no others. The reader checks each member or record; where a check fails it searches for the next
 valid gzip member or version line, recovers what follows, and logs the bytes passed over as a gap.
+Within a member's content, that of a damaged one as far as it can be read, it searches likewise.
 """
 
 from __future__ import annotations
@@ -95,20 +96,66 @@ def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
     return out, len(data) - len(z.unused_data)
 
 
+def _readable(data: bytes, at: int) -> tuple[bytes, int]:
+    """What can be decompressed of a damaged gzip member at ``at``, and the offset up to which it was read."""
+    z, out, step = zlib.decompressobj(31), [], 4096
+    while at < len(data) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            z, step = before, 1
+            continue
+        at += step
+    return b"".join(out), min(at, len(data))
+
+
+def _records(content: bytes) -> Iterator[tuple[str, dict]]:
+    """("record", ...) and ("gap", ...) within decompressed content, in order, with inner_offset and inner_length."""
+    at, bad, why = 0, -1, ""
+    while at < len(content):
+        try:
+            record, after = _parse_record(content, at)
+        except ValueError as e:
+            if bad < 0:
+                bad, why = at, str(e)
+            line = VERSION_LINE.search(content, at + 1)
+            at = line.start() if line else len(content)
+            continue
+        if bad >= 0:
+            yield "gap", {"inner_offset": bad, "inner_length": at - bad, "reason": why}
+            bad = -1
+        yield "record", {"inner_offset": at, "inner_length": after - at, **record}
+        at = after
+    if bad >= 0:
+        yield "gap", {"inner_offset": bad, "inner_length": at - bad, "reason": why}
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, dict]]:
     """("record", ...) and ("gap", {offset, length, reason}) in file order.
 
-    Offsets are those of the archive's bytes; a record within a member has its member's. Nothing is
-    dropped silently: records and gaps together, with empty members, cover the whole file.
+    Offsets are those of the archive's bytes; a record or gap within a member has its member's, and
+    its own place in the decompressed content as inner_offset and inner_length. Of a damaged member
+    the readable part is searched too: what parses there comes with the damage as its reason, since
+    no checksum vouches for it, at the offset and length of the gap that follows. Nothing is dropped
+    silently: records and gaps together, with empty members, cover the whole file.
     """
     at, bad, why, n = 0, -1, "", len(data)
+    rescued: list[tuple[str, dict]] = []  # from the readable part of the damaged member at ``bad``
+    read_to = 0
 
     def closed(upto: int) -> list[tuple[str, dict]]:
-        return [("gap", {"offset": bad, "length": upto - bad, "reason": why})] if bad >= 0 else []
+        if bad < 0:
+            return []
+        place = {"offset": bad, "length": upto - bad}
+        return [(kind, {"reason": why, **place, **x}) for kind, x in rescued] + [("gap", {**place, "reason": why})]
 
     while at < n:
+        packed = data.startswith(GZIP_MAGIC, at)
         try:
-            if data.startswith(GZIP_MAGIC, at):
+            if packed:
                 # a window that grows: decompressing never copies the rest of a large archive for each member
                 width = 1 << 16
                 while True:
@@ -119,25 +166,33 @@ def salvage(data: bytes) -> Iterator[tuple[str, dict]]:
                         if "truncated" not in str(e) or at + width >= n:
                             raise
                         width *= 4
-                found, inner = [], 0
-                while inner < len(content):
-                    record, inner = _parse_record(content, inner)
-                    found.append(record)
                 after = at + used
+                found = list(_records(content))
+                if content and all(kind == "gap" for kind, _ in found):
+                    raise ValueError(found[0][1]["reason"])
             else:
                 record, after = _parse_record(data, at)
-                found = [record]
+                found = [("record", record)]
         except ValueError as e:
+            if packed and str(e).startswith("gzip"):
+                content, upto = _readable(data, at)
+                parts = list(_records(content))
+                if any(kind == "record" for kind, _ in parts):
+                    yield from closed(at)
+                    bad, why, rescued, read_to = at, str(e), parts, upto
             if bad < 0:
                 bad, why = at, str(e)
             line = VERSION_LINE.search(data, at + 1)
             member = data.find(GZIP_MAGIC, at + 1)
             at = min(line.start() if line else n, member if member >= 0 else n)
             continue
+        if not packed and at < read_to and any(record.items() <= x.items() for _, x in rescued if "headers" in x):
+            at = after  # stored without compression in the damaged member: it has been read
+            continue
         yield from closed(at)
-        bad = -1
-        for record in found:
-            yield "record", {"offset": at, "length": after - at, **record}
+        bad, rescued, read_to = -1, [], 0
+        for kind, x in found:
+            yield kind, {"offset": at, "length": after - at, **x}
         at = after
     yield from closed(n)
 
@@ -184,10 +239,10 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
 
 def read_archives(spark, path: str, glob: str = "*") -> DataFrame:
     """Salvage every archive below ``path``: kind (record or gap), archive, offset, length, reason,
-    type, record_id, headers (map), payload. Empty archives give no rows."""
-    names = ["kind", "archive", "offset", "length", "reason", "type", "record_id", "headers", "payload"]
-    schema = "kind string, archive string, offset long, length long, reason string, type string, record_id string, headers map<string,string>, payload binary"
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()]
+    type, record_id, headers (map), payload, inner_offset, inner_length. Empty archives give no rows."""
+    names = ["kind", "archive", "offset", "length", "reason", "type", "record_id", "headers", "payload", "inner_offset", "inner_length"]
+    schema = "kind string, archive string, offset long, length long, reason string, type string, record_id string, headers map<string,string>, payload binary, inner_offset long, inner_length long"
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.int64()]
 
     def batch(rows: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -197,7 +252,7 @@ def read_archives(spark, path: str, glob: str = "*") -> DataFrame:
             for archive, content in zip(b.column("path"), b.column("content"), strict=True):
                 rows, held = [], 0
                 for kind, x in salvage(content.as_py()):
-                    rows.append([kind, archive.as_py(), x["offset"], x["length"], x.get("reason"), x.get("type"), x.get("record_id"), list(x["headers"].items()) if "headers" in x else None, x.get("payload")])
+                    rows.append([kind, archive.as_py(), x["offset"], x["length"], x.get("reason"), x.get("type"), x.get("record_id"), list(x["headers"].items()) if "headers" in x else None, x.get("payload"), x.get("inner_offset"), x.get("inner_length")])
                     held += len(x.get("payload", b""))
                     if held > 4 << 20 or len(rows) >= 1000:
                         yield batch(rows)
@@ -210,8 +265,9 @@ def read_archives(spark, path: str, glob: str = "*") -> DataFrame:
 
 
 def quarantined(rows: DataFrame) -> DataFrame:
-    """The log of byte gaps: archive, offset, length, reason."""
-    return rows.filter("kind = 'gap'").select("archive", "offset", "length", "reason")
+    """The log of byte gaps: archive, offset, length, reason, inner_offset, inner_length (null: the
+    gap is of the archive's own bytes)."""
+    return rows.filter("kind = 'gap'").select("archive", "offset", "length", "reason", "inner_offset", "inner_length")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

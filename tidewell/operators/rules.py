@@ -37,16 +37,15 @@ def sweep_reclaims(bars: DataFrame, levels: DataFrame, least: float, most: float
     """A bar dips below the level by ``least`` to ``most`` (of the level) and one of the next
     ``within`` bars, or itself, closes back above; a deeper dip ends the day's search. The sweep low
     is the lowest low up to the reclaim."""
-    b = bars.join(levels, DAY)
-    depth = (F.col("level") - F.col("low")) / F.col("level")
-    b = b.withColumn("_d", depth)
-    broken = b.filter(F.col("_d") > most).groupBy(*DAY).agg(F.min("bar_no").alias("_broken"))
-    sweep = b.filter(F.col("_d").between(least, most)).join(broken, DAY, "left").filter(F.col("_broken").isNull() | (F.col("bar_no") < F.col("_broken")))
-    first = sweep.groupBy(*DAY, "level").agg(F.min("bar_no").alias("sweep_bar"))
-    after = first.join(bars, DAY).filter(F.col("bar_no").between(F.col("sweep_bar"), F.col("sweep_bar") + within))
-    back = after.filter(F.col("close") > F.col("level")).groupBy(*DAY, "level", "sweep_bar").agg(F.min(F.struct("bar_no", "close")).alias("r"))
-    lows = back.join(bars.select(*DAY, "bar_no", "low"), DAY).filter(F.col("bar_no").between(F.col("sweep_bar"), F.col("r.bar_no")))
-    return lows.groupBy(*DAY, "level", "sweep_bar", F.col("r.bar_no").alias("entry_bar"), F.col("r.close").alias("entry")).agg(F.min("low").alias("sweep_low"))
+    day = Window.partitionBy(*DAY)
+    at = F.col("bar_no")
+    b = bars.join(levels, DAY).withColumn("_d", F.try_divide(F.col("level") - F.col("low"), F.col("level")))
+    b = b.withColumn("_broken", F.min(F.when(F.col("_d") > most, at)).over(day))
+    swept = F.col("_d").between(least, most) & (F.col("_broken").isNull() | (at < F.col("_broken")))
+    b = b.withColumn("sweep_bar", F.min(F.when(swept, at)).over(day))
+    back = at.between(F.col("sweep_bar"), F.col("sweep_bar") + within) & (F.col("close") > F.col("level"))
+    b = b.withColumn("_r", F.min(F.when(back, F.struct("bar_no", "close"))).over(day)).filter(at.between(F.col("sweep_bar"), F.col("_r.bar_no")))
+    return b.groupBy(*DAY, "level", "sweep_bar", F.col("_r.bar_no").alias("entry_bar"), F.col("_r.close").alias("entry")).agg(F.min("low").alias("sweep_low"))
 
 
 def fair_value_gaps(bars: DataFrame) -> DataFrame:

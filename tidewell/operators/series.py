@@ -144,7 +144,7 @@ def blocks(df: DataFrame, size: int, value: str, entity: str = "entity_id", date
 def drawdown(df: DataFrame, value: str, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
     """Running peak and fall from it."""
     seen = line(entity, date).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("peak", F.max(value).over(seen)).withColumn("drawdown", F.col(value) / F.col("peak") - 1)
+    return df.withColumn("peak", F.max(value).over(seen)).withColumn("drawdown", F.try_divide(F.col(value), F.col("peak")) - 1)
 
 
 def roll_spread(df: DataFrame, price: str = "close", least: int = 20, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
@@ -160,9 +160,9 @@ def roll_spread(df: DataFrame, price: str = "close", least: int = 20, entity: st
 def corwin_schultz(df: DataFrame, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
     """Two-day high-low spread estimate, negative ones floored at 0."""
     w = line(entity, date)
-    hl = F.pow(F.log(F.col("high") / F.col("low")), 2)
+    hl = F.pow(F.log(F.try_divide(F.col("high"), F.col("low"))), 2)
     beta = hl + F.lag(hl).over(w)
-    gamma = F.pow(F.log(F.greatest("high", F.lag("high").over(w)) / F.least("low", F.lag("low").over(w))), 2)
+    gamma = F.pow(F.log(F.try_divide(F.greatest("high", F.lag("high").over(w)), F.least("low", F.lag("low").over(w)))), 2)
     k = 3 - 2 * 2**0.5
     df = df.withColumns({"_b": beta, "_g": F.when(F.lag("high").over(w).isNotNull(), gamma)})
     alpha = (F.sqrt(2 * F.col("_b")) - F.sqrt("_b")) / k - F.sqrt(F.col("_g") / k)

@@ -51,7 +51,7 @@ def uncontaminated(events: DataFrame, jumps: DataFrame, start: str, end: str, en
 def drawdown_episodes(df: DataFrame, value: str, depth: float, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
     """Spans below a running peak that fall by ``depth`` or more: peak, first breach, trough, recovery."""
     w = line(entity, date).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_peak", F.max(value).over(w)).withColumn("_dd", F.col(value) / F.col("_peak") - 1)
+    rows = df.withColumn("_peak", F.max(value).over(w)).withColumn("_dd", F.try_divide(F.col(value), F.col("_peak")) - 1)
     rows = rows.withColumn("_id", F.sum((F.col("_dd") == 0).cast("int")).over(w))
     out = rows.groupBy(entity, "_id").agg(
         F.min(date).alias("peak_date"), F.first("_peak").alias("peak"), F.min(F.when(F.col("_dd") <= -depth, F.col(date))).alias("breach_date"),
@@ -148,9 +148,9 @@ def weekly_reversal(weekly: DataFrame, weeks: int, times: float, entity: str = "
     """Weeks that fall by more than ``times`` the volatility of the ``weeks`` weeks before, and the
     following week's return from its open."""
     w = line(entity, date)
-    rows = weekly.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    rows = weekly.withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(w)) - 1)
     before = w.rowsBetween(-weeks, -1)
-    rows = rows.withColumns({"sigma": full(F.stddev_samp("ret"), F.col("ret"), before, weeks), "next_return": F.lead("close").over(w) / F.lead("open").over(w) - 1})
+    rows = rows.withColumns({"sigma": full(F.stddev_samp("ret"), F.col("ret"), before, weeks), "next_return": F.try_divide(F.lead("close").over(w), F.lead("open").over(w)) - 1})
     return rows.filter(F.col("ret") < -times * F.col("sigma"))
 
 

@@ -49,7 +49,7 @@ def adjustment_factors(days: DataFrame, actions: DataFrame, entity: str = "entit
     daily = actions.groupBy(entity, "ex_date").agg(F.product("ratio").alias("ratio"))
     listed = daily.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct("ex_date", "ratio"))).alias("_actions"))
     later = F.filter("_actions", lambda a: a["ex_date"] > F.col("trade_date"))
-    factor = F.aggregate(later, F.lit(1.0), lambda f, a: f / a["ratio"])
+    factor = F.aggregate(later, F.lit(1.0), lambda f, a: F.try_divide(f, a["ratio"]))
     return days.join(listed, entity, "left").withColumn("factor", F.coalesce(factor, F.lit(1.0))).drop("_actions")
 
 
@@ -104,7 +104,7 @@ def scale_probe(a: DataFrame, b: DataFrame, on: list[str], tolerance: float = 0.
     """Is source ``b`` (high, low) the same series as ``a``, a constant multiple of it, or neither."""
     both = a.select(*on, F.col("high").alias("ah"), F.col("low").alias("al")).join(b.select(*on, F.col("high").alias("bh"), F.col("low").alias("bl")), on)
     both = both.withColumns({"r_high": F.try_divide(F.col("ah"), F.col("bh")), "r_low": F.try_divide(F.col("al"), F.col("bl"))})
-    agree = F.abs(F.col("r_high") / F.col("r_low") - 1) <= tolerance
+    agree = F.abs(F.try_divide(F.col("r_high"), F.col("r_low")) - 1) <= tolerance
     scale = (F.col("r_high") + F.col("r_low")) / 2
     status = F.when(F.col("r_high").isNull() | F.col("r_low").isNull() | ~agree, "UNRESOLVED").when(F.abs(scale - 1) <= near, "RAW").otherwise("SCALED")
     return both.select(*on, "r_high", "r_low", F.when(agree, scale).alias("scale"), status.alias("status"))

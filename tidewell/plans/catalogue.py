@@ -430,7 +430,7 @@ b AS (SELECT entity_id, trade_date, CASE WHEN count(CASE WHEN ret IS NOT NULL AN
 SELECT entity_id, trade_date, round(beta, 5) AS beta FROM b"""
 )
 def rolling_beta(spark: SparkSession, sf: str) -> DataFrame:
-    r = D.weekly(spark, sf).withColumn("ret", F.log(F.col("close") / F.lag("close").over(S.line()))).select("entity_id", "trade_date", "ret")
+    r = D.weekly(spark, sf).withColumn("ret", F.log(F.try_divide(F.col("close"), F.lag("close").over(S.line())))).select("entity_id", "trade_date", "ret")
     m = r.groupBy("trade_date").agg(F.avg("ret").alias("market"))
     return S.rolling_beta(r.join(m, "trade_date"), 20).select("entity_id", "trade_date", F.round("beta", 5).alias("beta"))
 
@@ -515,7 +515,7 @@ def bh_qvalues(spark: SparkSession, sf: str) -> DataFrame:
 def ols_beta(spark: SparkSession, sf: str) -> DataFrame:
     fit = X.ols(D.table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity"], ["l_returnflag"])
     n, sx, sy, sxy, sxx = (F.col(c) for c in ("one__one", "one__l_quantity", "one__y", "l_quantity__y", "l_quantity__l_quantity"))
-    slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)
+    slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
     return fit.select("l_returnflag", n.cast("bigint").alias("n"), F.round(slope, 5).alias("slope"), F.round((sy - slope * sx) / n, 3).alias("intercept"))
 
 
@@ -614,7 +614,7 @@ def portfolio_turnover(spark: SparkSession, sf: str) -> DataFrame:
 SELECT trade_date, round(nav, 6) AS nav, round(nav / greatest(max(nav) OVER (ORDER BY trade_date), 1) - 1, 6) AS drawdown FROM n"""
 )
 def nav_drawdown(spark: SparkSession, sf: str) -> DataFrame:
-    r = D.weekly(spark, sf).groupBy("trade_date").agg((F.avg(F.log(F.col("close") / F.col("open"))) / 50).alias("gross")).withColumn("cost", F.lit(0.0001))
+    r = D.weekly(spark, sf).groupBy("trade_date").agg((F.avg(F.log(F.try_divide(F.col("close"), F.col("open")))) / 50).alias("gross")).withColumn("cost", F.lit(0.0001))
     return rounded(P.nav(r, "gross", "cost").select("trade_date", "nav", "drawdown"))
 
 
@@ -661,7 +661,7 @@ def orb_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{ctes('ticks', 'intraday')}, l AS (SELECT entity_id, session, min(low) AS level FROM intraday WHERE bar_no < 16 GROUP BY 1, 2), p AS (SELECT i.*, level, (level - low) / level AS d FROM intraday i JOIN l USING (entity_id, session)),
+    f"""{ctes('ticks', 'intraday')}, l AS (SELECT entity_id, session, min(low) AS level FROM intraday WHERE bar_no < 16 GROUP BY 1, 2), p AS (SELECT i.*, level, (level - low) / nullif(level, 0) AS d FROM intraday i JOIN l USING (entity_id, session)),
 k AS (SELECT entity_id, session, min(bar_no) AS k FROM p WHERE d > 0.9 GROUP BY 1, 2), s AS (SELECT p.entity_id, p.session, level, min(bar_no) AS sweep_bar FROM p LEFT JOIN k USING (entity_id, session) WHERE d BETWEEN 0.01 AND 0.9 AND (k IS NULL OR bar_no < k) GROUP BY 1, 2, 3),
 r AS (SELECT s.*, min(bar_no) AS entry_bar, first(close ORDER BY bar_no) AS entry FROM s JOIN intraday i USING (entity_id, session) WHERE bar_no BETWEEN sweep_bar AND sweep_bar + 3 AND close > level GROUP BY ALL)
 SELECT r.*, (SELECT min(low) FROM intraday i WHERE i.entity_id = r.entity_id AND i.session = r.session AND i.bar_no BETWEEN sweep_bar AND entry_bar) AS sweep_low FROM r"""
@@ -764,7 +764,7 @@ def block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 def timing_null(spark: SparkSession, sf: str) -> DataFrame:
     b = D.intraday(spark, sf)
     t = R.breakout_entries(b, R.opening_range(b, 0, 7), 8, 40)
-    moves = b.select("entity_id", "session", "bar_no", (F.col("close") / F.col("open") - 1).alias("move"))
+    moves = b.select("entity_id", "session", "bar_no", (F.try_divide(F.col("close"), F.col("open")) - 1).alias("move"))
     return I.timing_null(t, moves, ["entity_id", "session"], "move", 50, ["entity_id", "session", "entry_bar"])
 
 

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("value"), "l_orderkey", "l_linenumber"
+        F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").alias("trade_date"), F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("value"), "l_orderkey", "l_linenumber"
     )
 
 

@@ -55,7 +55,7 @@ def drawdown_episodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _volume_and_next(spark: SparkSession, sf: str) -> DataFrame:
-    return D.weekly(spark, sf).withColumn("nxt", F.log(F.lead("close").over(S.line()) / F.col("close"))).select("entity_id", "trade_date", "volume", "nxt")
+    return D.weekly(spark, sf).withColumn("nxt", F.log(F.try_divide(F.lead("close").over(S.line()), F.col("close")))).select("entity_id", "trade_date", "volume", "nxt")
 
 
 _VN = f"vn AS (SELECT entity_id, trade_date, volume, ln(lead(close) OVER ({_W}) / close) AS nxt FROM weekly), lad AS (SELECT trade_date, CAST(floor((rk - 1) * 5 / n) + 1 AS INTEGER) AS bin, count(*) AS n, avg(nxt) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY volume, entity_id) AS rk, count(*) OVER (PARTITION BY trade_date) AS n FROM vn WHERE nxt IS NOT NULL) GROUP BY 1, 2)"
@@ -178,7 +178,7 @@ e AS (SELECT *, quantile_cont(mom, 0.9) OVER p AS a, quantile_cont(turnover, 0.5
 def swing_signals(spark: SparkSession, sf: str) -> DataFrame:
     w = S.line()
     v = w.rowsBetween(-4, -1)
-    m = D.weekly(spark, sf).withColumns({"mom": F.col("close") / F.lag("close", 8).over(w) - 1, "r1": F.col("close") / F.lag("close").over(w) - 1, "vr": F.try_divide(F.col("volume"), S.full(F.avg("volume"), F.col("volume"), v, 4)), "ok": F.lit(True)})
+    m = D.weekly(spark, sf).withColumns({"mom": F.try_divide(F.col("close"), F.lag("close", 8).over(w)) - 1, "r1": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, "vr": F.try_divide(F.col("volume"), S.full(F.avg("volume"), F.col("volume"), v, 4)), "ok": F.lit(True)})
     return P.swing_signals(m, "mom", "turnover", "r1", "vr", "ok").filter("signal").select("entity_id", "trade_date")
 
 

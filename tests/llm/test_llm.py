@@ -101,6 +101,18 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert toxicity.toxicity_scores(empty, none).count() == 0
 
 
+def test_toxicity_odd_rows(spark):
+    """Clashing names, one id with two texts, repeated rows, a null id and a very long text."""
+    documents, labels, _ = labelled(spark)
+    twice = documents.unionByName(documents.filter("doc_id < 9").withColumn("text", F.lit("zzvile.")))
+    assert toxicity.train(twice.repartition(3), labels) == toxicity.train(twice.repartition(7, "text"), labels)
+    model = toxicity.train(documents, labels)
+    rows = [(1, "fine.", 5, "a"), (1, "fine.", 5, "a"), (None, "you zzvile.", 6, "b"), (2, None, 7, None), (3, "fine day. " * 200_000 + "zzvile you.", 8, "c")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, score int, _text string").withColumn("c0", F.lit(1)).withColumn("score_1", F.lit(2))
+    kept = toxicity.non_toxic(odd, model)
+    assert kept.columns == odd.columns and sorted(r.score for r in kept.collect()) == [5, 5, 7]
+
+
 # ---- licences
 
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import is_remote
 
 #: A word is a maximal run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,8 +49,19 @@ def discard(*frames: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect garbage, so that shuffle files of finished jobs go."""
-    spark.sparkContext._jvm.System.gc()
+    """Let shuffle files of finished jobs go now and not at the next collection of the driver's heap.
+    Only disk space depends on it; a session without a JVM at hand skips it."""
+    if not is_remote():
+        spark.sparkContext._jvm.System.gc()
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or the first of ``name_1``, ``name_2``, ... that no column bears (case aside)."""
+    low, n, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in low:
+        n += 1
+        out = f"{name}_{n}"
+    return out
 
 
 def words_of(text: Column) -> Column:

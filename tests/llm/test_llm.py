@@ -553,6 +553,28 @@ def test_repeats_with_equal_rows(spark, bucket, monkeypatch):
     assert [len(got[d]) for d in (0, 3, 4, 6, 7, -1)] == [2, 3, 3, 2, 1, 3]
 
 
+def test_repeats_of_a_large_bucket(spark):
+    """A phrase and a passage in over 1,024 different surroundings, at the shipped bucket size, and a
+    text longer than a chunk."""
+    r = random.Random(31)
+    phrase, passage = prose(16, r)[:70], prose(40, r)[:130]
+    rows = [(i, f"{prose(9, r)} {i}{phrase}{i * 7} {prose(8, r)} {i * 3}{passage}{i * 11}") for i in range(1500)]
+    rows.append((2000, prose(70_000, r) + passage))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: tuple(x)[1:] for x in suffix_dedup.removal_digest(df).collect()} == brute_removed(rows)
+
+
+def test_suffix_array_against_sorting():
+    r = random.Random(2)
+    for _ in range(100):
+        texts, least = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 6))], r.randint(1, 5)
+        number, start, common = suffix_dedup.suffix_array(texts, least)
+        found = [texts[n][i:] for n, i in zip(number, start, strict=True)]
+        assert found == sorted(t[i:] for t in texts for i in range(len(t) - least + 1))
+        for x, y, n in zip(found, found[1:], common, strict=False):
+            assert x[:n] == y[:n] and x[n : n + 1] != y[n : n + 1] or x == y
+
+
 def test_repeats_of_an_empty_table(empty):
     assert suffix_dedup.removal_digest(empty).count() == 0
 

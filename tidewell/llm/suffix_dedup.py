@@ -3,10 +3,11 @@
 A byte goes if it lies in a string of ``least`` bytes that also starts earlier. The corpus is cut
 into buckets so that equal strings of that length always meet: every window of ``least`` bytes
 belongs to the smallest hash among its k-grams, neighbouring windows of one hash form a stretch, and
-stretches of one hash form a bucket. Equal stretches are settled by an aggregate. For the different
-stretches of a bucket a suffix array with its common-prefix table is built; a stack scan walks the
-tree of common-prefix intervals, and intervals whose occurrences differ in the byte before them are
-the maximal repeats, given with all their occurrences.
+stretches of one hash form a bucket. Equal stretches are settled by an aggregate; large buckets are
+cut again by longer k-grams. For the different stretches of a bucket a suffix
+array with its common-prefix table is built; a stack scan walks the tree of common-prefix intervals,
+and intervals whose occurrences differ in the byte before them are the maximal repeats, given with
+all their occurrences.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ LEAST = 100
 KGRAM = 32
 #: Windows of one stretch at most; longer (periodic) ones are cut.
 STRETCH = 256
-#: Bytes hashed at a time, and stretches of one bucket that one suffix array takes; larger buckets
-#: compare their windows by hash in an aggregate.
+#: Bytes hashed at a time, and stretches of one bucket that one suffix array takes; the stretches of
+#: larger buckets are cut again by longer k-grams until they fit.
 CHUNK, BUCKET = 1 << 18, 1024
 #: Bits of the prefilters, which only spare work: what they let through is compared exactly.
 FILTER_BITS = 1 << 26
@@ -65,8 +66,8 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
 class Hasher:
     """Stretches of a run of texts: see :meth:`stretches`."""
 
-    def __init__(self, least: int = LEAST, kgram: int = KGRAM) -> None:
-        self.least, self.kgram, self.wide = least, kgram, least - kgram + 1
+    def __init__(self, least: int = LEAST, kgram: int = KGRAM, longest: int = STRETCH) -> None:
+        self.least, self.kgram, self.wide, self.longest = least, kgram, least - kgram + 1, longest
         self.up = self.down = np.ones(0, np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -95,7 +96,7 @@ class Hasher:
         new[1:] = (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
         run = np.cumsum(new) - 1
-        cut = (np.arange(len(starts)) - first[run]) % STRETCH == 0
+        cut = (np.arange(len(starts)) - first[run]) % self.longest == 0
         first = np.flatnonzero(cut)
         count = np.diff(np.append(first, len(starts)))
         begin, key = starts[first], value[first]
@@ -134,18 +135,50 @@ def chunked(ids: Iterable, texts: Iterable[bytes], least: int, chunk: int = CHUN
         yield held
 
 
-def _common(x: bytes, y: bytes) -> int:
-    n = min(len(x), len(y))
-    if x[:n] == y[:n]:
-        return n
-    low, high = 0, n  # x[:low] agree, x[:high] do not
-    while high - low > 1:
-        mid = (low + high) // 2
-        if x[low:mid] == y[low:mid]:
-            low = mid
+def suffix_array(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted suffixes of at least ``least`` bytes: text number and start by row, and the length of
+    the prefix that each row has in common with the next one.
+
+    Prefix doubling: ranks of the first 1, 2, 4, ... bytes, each from the pair before. A mark of its
+    own ends every text, so nothing is equal across an end. The ranks kept from every round give the
+    common prefixes of neighbours by halving."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    n = int(ends[-1]) + 1 if len(texts) else 0
+    rank = np.empty(n, np.int64)
+    body = np.ones(n, bool)
+    body[ends] = False
+    rank[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + len(texts)
+    rank[ends] = np.arange(len(texts))
+    levels, most, base = [rank], max(sizes.tolist(), default=0), 256 + len(texts)
+    while (step := 1 << (len(levels) - 1)) < most:
+        pair = rank * base
+        pair[:-step] += rank[step:]
+        if base * base <= 1 << 31:
+            rank, base = pair, base * base  # pairs are their own ranks while they are small
         else:
-            high = mid
-    return low
+            order = np.argsort(pair)
+            sorted_ = pair[order]
+            new = np.ones(n, bool)
+            new[1:] = sorted_[1:] != sorted_[:-1]
+            rank, base = np.empty(n, np.int64), n
+            rank[order] = np.cumsum(new) - 1
+            if new.all():
+                levels.append(rank)
+                break
+        levels.append(rank)
+    place = np.arange(n)
+    text = np.searchsorted(ends, place)
+    long = body & (ends[text] - place >= least)
+    rows = place[long][np.argsort(rank[long])]
+    one, two = rows[:-1].copy(), rows[1:].copy()
+    common = np.zeros(len(rows), np.int64)
+    for i in range(len(levels) - 1, -1, -1):
+        equal = np.flatnonzero((one < n) & (two < n))
+        equal = equal[levels[i][one[equal]] == levels[i][two[equal]]]
+        for x in (one, two, common):
+            x[equal] += 1 << i
+    return text[rows], rows - np.concatenate([[0], ends + 1])[text[rows]], common
 
 
 def intervals(texts: list[bytes], least: int, rank=None) -> Iterator[tuple[int, int, int, bool, list[int]]]:
@@ -156,19 +189,22 @@ def intervals(texts: list[bytes], least: int, rank=None) -> Iterator[tuple[int,
     least row goes on to the parent, and the others that came from its children are its losers, so
     that every row loses once: in the longest common prefix that another, lesser row shares.
     """
-    suffixes = sorted((t[i:], n, i) for n, t in enumerate(texts) for i in range(len(t) - least + 1))
-    rows = [(n, i) for _, n, i in suffixes]
+    number, start, common_ = suffix_array(texts, least)
+    rows = list(zip(number.tolist(), start.tolist(), strict=True))
     yield 0, 0, -1, False, rows  # type: ignore[misc]
-    if not rows:
-        return
-    lcp = [_common(a[0], b[0]) if a[0][:least] == b[0][:least] else 0 for a, b in zip(suffixes, suffixes[1:], strict=False)] + [0]
-    key = [rank(x) if rank else j for j, x in enumerate(rows)]
-    # the byte before each row; a text's first byte differs from every other
-    byte = [texts[n][i - 1] if i else -1 - j for j, (n, i) in enumerate(rows)]
+    # rows whose prefix of ``least`` bytes stands alone open no interval
+    with_next = common_ >= least
+    member = with_next.copy()
+    member[1:] |= with_next[:-1]
     # open intervals: common prefix, first row, the byte before (None: several), least rows of what closed within
     stack: list[list] = []
-    for row, common in enumerate(lcp):
-        left, best, before = row, row, byte[row]
+    key: dict[int, object] = {}
+    for row in np.flatnonzero(member).tolist():
+        n, i = rows[row]
+        common = int(common_[row])
+        key[row] = rank(rows[row]) if rank else row
+        # a text's first byte differs from every other
+        left, best, before = row, row, texts[n][i - 1] if i else -1 - row
         while stack and stack[-1][0] > common:
             length, left, came, mins = stack.pop()
             mins.append(best)
@@ -333,17 +369,89 @@ class SuffixDedup:
         # later ones among equal stretches go as a whole
         again = kinds.filter("n > 1").select("key", "same", "length", "first")
         whole = rows.join(again, ["key", "same", "length"]).filter(place != F.col("first")).select("id", "digest", "start", (F.col("start") + F.col("length")).alias("end"))
-        buckets = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("ties").alias("most"))
-        wanted = kinds.join(buckets.filter("kinds > 1 or most > 1"), "key").select("first.id", "first.digest", "first.start", "length", "key", "kinds")
-        wanted = materialize(wanted, "suffix-wanted")
-        texts = materialize(self._texts_of(wanted), "suffix-texts")
-        small = self._by_suffix_array(texts.filter(F.col("kinds") <= self.bucket))
-        large = self._by_window_hash(texts.filter(F.col("kinds") > self.bucket))
-        spans = whole.unionByName(small).unionByName(large)
+        wanted = materialize(self._shared(kinds).select("first.id", "first.digest", "first.start", "length", "key"), "suffix-wanted")
+        texts = materialize(self._texts_of(wanted).select("key", "id", "digest", "start", "bytes"), "suffix-texts")
+        parts = [materialize(whole, "suffix-whole")]
+        done = [parts[0]]
+        discard(rows, kinds, wanted, equal, *([single] if single is not None else []))
+        # large buckets are cut again by longer k-grams until they fit
+        for kgram in self.finer:
+            sizes = materialize(texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.bucket).select("key"), "suffix-large")
+            done += [sizes, texts]
+            n = sizes.count()
+            if not n:
+                break
+            large = F.broadcast(sizes) if n <= BROADCAST_ROWS else sizes
+            parts.append(self._by_suffix_array(texts.join(large, "key", "left_anti")))
+            again, texts = self._recut(texts.join(large, "key", "left_semi"), kgram)
+            parts.append(again)
+            done.append(again)
+        else:
+            done.append(texts)
+        parts.append(self._by_suffix_array(texts))
+        spans = parts[0]
+        for p in parts[1:]:
+            spans = spans.unionByName(p)
         by_doc = spans.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         #: id, digest, spans: merged (start, end) byte spans of documents that lose some but are no whole copies.
         self.spans = materialize(self._merged(by_doc), "suffix-spans")
-        discard(rows, kinds, wanted, texts, equal, *([single] if single is not None else []))
+        discard(*done)
+
+    @property
+    def finer(self) -> list[int]:
+        """Lengths of the k-grams by which buckets of over ``bucket`` stretches are cut, one after the
+        other. The last is a byte less than a window, with a window a stretch: no more than 512
+        different windows share it, so the loop ends there."""
+        least, k = self.least, self.kgram
+        return [k + (least - k) * 7 // 10, k + (least - k) * 9 // 10, least - 1]
+
+    @staticmethod
+    def _shared(kinds: DataFrame) -> DataFrame:
+        """The kinds that another kind may share a window with, or that may repeat one within."""
+        buckets = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("_kinds"), F.max("ties").alias("_most")).filter("_kinds > 1 or _most > 1").select("key")
+        return kinds.join(buckets, "key")
+
+    def _recut(self, texts: DataFrame, kgram: int) -> tuple[DataFrame, DataFrame]:
+        """Stretches cut again by a longer k-gram: the spans of later ones among equal pieces, and the
+        pieces (key, id, digest, start, bytes) that may still share a window with another. Equal
+        windows have equal smallest k-grams, so they meet again; keys that stand once go first."""
+        least, longest = self.least, 1 if kgram == self.least - 1 else STRETCH
+
+        def cut(table: np.ndarray | None):
+            shared = self.spark.sparkContext.broadcast(table) if table is not None else None
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                hasher = Hasher(least, kgram, longest)
+                for b in batches:
+                    column = b.column("bytes")
+                    ids, digests, begins = (b.column(c).to_numpy() for c in ("id", "digest", "start"))
+                    for rows, _, pieces in chunked(range(b.num_rows), (x.as_py() for x in column), least):
+                        s = hasher.stretches(pieces)
+                        if shared is None:
+                            yield pa.RecordBatch.from_arrays([pa.array(s["key"]), pa.array(s["ties"].astype(np.int32))], ["key", "ties"])
+                            continue
+                        ok = np.flatnonzero(_passes(shared.value, s["key"]))
+                        row = np.array(rows)[s["text"][ok]]
+                        bytes_ = [pieces[t][a : a + n] for t, a, n in zip(s["text"][ok].tolist(), s["start"][ok].tolist(), s["length"][ok].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(x) for x in (ids[row], digests[row], begins[row] + s["start"][ok], s["key"][ok], s["same"][ok], s["ties"][ok].astype(np.int32))), pa.array(bytes_, pa.binary())],
+                            ["id", "digest", "start", "key", "same", "ties", "bytes"],
+                        )
+
+            return run
+
+        keys = texts.mapInArrow(cut(None), "key long, ties int").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ties").alias("ties")).filter("n > 1 or ties > 1")
+        rows = texts.mapInArrow(cut(_filter_of(keys, "key", FILTER_BITS)), "id long, digest long, start long, key long, same long, ties int, bytes binary")
+        rows = materialize(rows, "suffix-pieces")
+        place = F.struct("id", "digest", "start")
+        kinds = rows.groupBy("key", "same", F.length("bytes").alias("length")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("ties").alias("ties"), F.first("bytes").alias("bytes"))
+        kinds = materialize(kinds, "suffix-kinds")
+        again = kinds.filter("n > 1").select("key", "same", "length", "first")
+        spans = rows.withColumn("length", F.length("bytes")).join(again, ["key", "same", "length"]).filter(place != F.col("first")).select("id", "digest", "start", (F.col("start") + F.col("length")).alias("end"))
+        spans = materialize(spans, "suffix-whole")
+        out = materialize(self._shared(kinds).select("key", "first.id", "first.digest", "first.start", "bytes"), "suffix-texts")
+        discard(rows, kinds)
+        return spans, out
 
     def _by_suffix_array(self, texts: DataFrame) -> DataFrame:
         least = self.least
@@ -372,15 +480,6 @@ class SuffixDedup:
         sorted_ = texts.select("key", "id", "digest", "start", "bytes").repartition("key").sortWithinPartitions("key")
         return sorted_.mapInArrow(run, "id long, digest long, start long, end long")
 
-    def _by_window_hash(self, texts: DataFrame) -> DataFrame:
-        """For buckets of very many different stretches: the first place of each window's hash, by
-        an aggregate that combines before the shuffle."""
-        least = self.least
-        at = F.explode(F.sequence(F.lit(1), F.octet_length("bytes") - (least - 1)))
-        windows = texts.select("id", "digest", "start", "bytes", at.alias("at")).select("id", "digest", (F.col("start") + F.col("at") - 1).alias("start"), F.sha2(F.expr(f"substring(bytes, at, {least})"), 256).alias("sha"))
-        first = windows.groupBy("sha").agg(F.min(F.struct("id", "digest", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return windows.join(first, "sha").filter(F.struct("id", "digest", "start") != F.col("first")).select("id", "digest", "start", (F.col("start") + least).alias("end"))
-
     @staticmethod
     def _merged(by_doc: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -224,6 +224,23 @@ def test_pieces_equal_the_library(spark, docs):
         assert r.text == lib.decode(r.ids)
 
 
+@needs_model
+@pytest.mark.parametrize("n", [59, 60, 61, 10_000])
+def test_long_words_equal_the_library(spark, n):
+    """Words about the length beyond which the lattice gives way to the same rules in Python."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    r = random.Random(n)
+    syllables = "tion the en ing é ß a er ed ment qu über s".split()
+    texts = ["".join(r.choice(syllables) for _ in range(n))[: n - 1] for _ in range(5)] + ["a" * (n - 1), "漢" * (n - 1), ("the漢" * n)[: n - 1]]
+    model = pieces.PieceModel.load()
+    got = {x.doc_id: x.ids for x in pieces.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == lib.encode(t), i
+        assert model.encode_word(pieces.SPACE + t) == lib.encode(t) or "漢" in t
+
+
 @needs_model
 def test_pieces_of_an_empty_table(spark, empty):
     assert pieces.encode_documents(empty, pieces.PieceModel.load()).count() == 0

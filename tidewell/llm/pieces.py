@@ -2,13 +2,14 @@
 
 Each distinct word is taken once: its substrings up to the longest piece are exploded and joined to
 the piece table, the matches are grouped by word as the edges of a lattice, and a fold over the edges
-gives the segmentation: Viterbi's best path for unigram models, rank-ordered merging for BPE models,
+with ``aggregate`` gives the segmentation: Viterbi's best path for unigram models, rank-ordered merging for BPE models,
 whose scores are ranks and not probabilities. Words then meet their documents block by block.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize
+from .common import discard, materialize
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -27,9 +28,23 @@ SPACE = "▁"
 LONG_WORD = 60
 #: Text bytes of one block of documents.
 BLOCK_BYTES = 16 << 20
+#: Words that one task segments at most on average, and words that a task gathers before it hands them on.
+WORDS_A_TASK, HELD_WORDS = 50_000, 200_000
 UNIGRAM, BPE = 1, 2
 
 
+def _class(points: list[int]) -> str:
+    """Sorted code points as the inside of a character class, the same in Java's and Python's patterns."""
+    spans: list[list[int]] = []
+    for c in points:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    name = lambda c: "".join(f"\\{x}" if x.isascii() and not x.isalnum() and x.isprintable() else x for x in chr(c)) if chr(c).isprintable() else f"\\x{c:02x}"
+    return "".join(name(a) if a == b else f"{name(a)}-{name(b)}" for a, b in spans)
+
+
 @dataclass
 class PieceModel:
     """The piece table: piece -> (id, score), ids of the 256 byte pieces (or None), the unknown id."""
@@ -66,14 +81,27 @@ class PieceModel:
 
     @cached_property
     def pattern(self) -> str:
-        """Words: a run of spaces with what follows it, cut at blanks that stand in no longer piece.
-        No piece reaches across such cuts, so words can be segmented one by one."""
-        inner = set("".join(p for p in self.pieces if len(p) > 1))
+        """Words: a run of spaces with a run of characters that pieces may join, or with one character
+        that no piece joins to another. Characters are of one kind if a chain of pieces holds them side
+        by side; no piece reaches across a cut between kinds, so words can be segmented one by one."""
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             return r"[\s\S]+"
-        cut = "".join(f"\\x{ord(c):02x}" for c in "\t\n\x0b\x0c\r" if c not in inner)
-        parts = [f"[{cut}]"] * bool(cut) + [f"{SPACE}*[^{SPACE}{cut}]+", f"{SPACE}+"]
-        return "|".join(parts)
+        up: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while up.setdefault(c, c) != c:
+                c = up[c]
+            return c
+
+        for p in self.pieces:
+            body = p.lstrip(SPACE)
+            for x, y in zip(body, body[1:], strict=False):
+                up[root(x)] = root(y)
+        kinds: dict[str, list[int]] = {}
+        for c in list(up):
+            kinds.setdefault(root(c), []).append(ord(c))
+        runs = [f"{SPACE}*[{_class(sorted(k))}]+" for k in sorted(kinds.values(), key=lambda k: (-len(k), min(k)))]
+        return "|".join([*runs, f"{SPACE}*[^{SPACE}]", f"{SPACE}+"])
 
     @cached_property
     def unk_score(self) -> float:
@@ -148,24 +176,47 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+def ranks(model: PieceModel) -> dict[float, int]:
+    """Places of the scores, best first; equal scores share one."""
+    return {x: i for i, x in enumerate(sorted({s for _, s in model.pieces.values()}, reverse=True))}
+
+
 def table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """piece, id, score: one row a piece, as many as the vocabulary has."""
-    return spark.createDataFrame(pa.table({"piece": pa.array(list(model.pieces)), "id": pa.array([i for i, _ in model.pieces.values()], pa.int32()), "score": pa.array([float(s) for _, s in model.pieces.values()], pa.float64())}))
+    """piece, id, rank: one row a piece, as many as the vocabulary has."""
+    place = ranks(model)
+    return spark.createDataFrame(pa.table({"piece": pa.array(list(model.pieces)), "id": pa.array([i for i, _ in model.pieces.values()], pa.int64()), "rank": pa.array([place[s] for _, s in model.pieces.values()], pa.int64())}))
 
 
-def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``words`` (word and other columns, one row a word) plus edges: array of (start, end, score,
-    id), the pieces of the table among the word's substrings. The word stays the key throughout, so
-    beyond the words' own partitioning nothing is shuffled."""
-    others = [c for c in words.columns if c != "word"]
+# An edge is one number: rank, start, end and id from its high bits to its low ones.
+def _rank(e: Column) -> Column:
+    return F.shiftright(e, 36)
+
+
+def _start(e: Column) -> Column:
+    return F.shiftright(e, 30).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _end(e: Column) -> Column:
+    return F.shiftright(e, 24).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _id(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+
+
+def lattice(words: DataFrame, model: PieceModel, key: str = "key") -> DataFrame:
+    """``words`` (key, word; at most LONG_WORD code points) to key, n (code points) and edges: the pieces
+    of the table among the word's substrings, a number each. A word without pieces gives no row. The key
+    stays the key throughout, so beyond the words' own partitioning nothing is shuffled."""
     n = F.length("word")
-    starts = words.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    cut = starts.select("word", *others, "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
-    cut = cut.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("end") - F.col("start")))
-    hits = cut.join(F.broadcast(table(words.sparkSession, model)), "piece", "left")
-    hits = hits.filter("id is not null or (start = 0 and end = 1)")  # a word without pieces keeps a row
-    edge = F.when(F.col("id").isNotNull(), F.struct("start", "end", "score", "id"))
-    return hits.groupBy("word").agg(F.collect_list(edge).alias("edges"), *(F.first(c).alias(c) for c in others))
+    starts = words.select(key, "word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    rest = starts.select(key, "n", "start", F.substring(F.col("word"), F.col("start") + 1, F.lit(model.longest)).alias("rest"))
+    cut = rest.select(key, "n", "start", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("size"))
+    cut = cut.select(key, "n", "start", "size", F.substring(F.col("rest"), F.lit(1), F.col("size")).alias("piece"))
+    hits = cut.join(F.broadcast(table(words.sparkSession, model)), "piece")  # the vocabulary's size is the model's
+    long = lambda c, bits: F.call_function("shiftleft", F.col(c).cast("bigint"), F.lit(bits))
+    edge = long("rank", 36) + long("start", 30) + F.call_function("shiftleft", (F.col("start") + F.col("size")).cast("bigint"), F.lit(24)) + F.col("id")
+    return hits.select(key, "n", edge.alias("edge")).groupBy(key, "n").agg(F.collect_list("edge").alias("edges"))
 
 
 def _let(value: Column, body) -> Column:
@@ -173,40 +224,43 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+
+
 def fold_merges(edges: Column, n: Column) -> Column:
-    """Symbol starts after BPE: each step joins the two neighbouring symbols whose union has the best
-    score, the leftmost of equals, until no union is a piece.
+    """The state after BPE: each step joins the two neighbouring symbols whose union has the best score,
+    the leftmost of equals, until no union is a piece.
 
     The state is one number, a bit for each place where a symbol starts or the word ends. A union
     fits if its two ends are such places and exactly one lies between."""
-    one = F.lit(1).cast("bigint")
-    bit = lambda i: F.call_function("shiftleft", one, i)
 
     def masks(e: Column) -> Column:
-        ends = bit(e["start"]) + bit(e["end"])
-        return F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), ends.alias("ends"), (bit(e["end"]) - bit(e["start"] + 1)).alias("between"))
+        return F.struct((_bit(_start(e)) + _bit(_end(e))).alias("ends"), (_bit(_end(e)) - _bit(_start(e) + 1)).alias("between"))
 
-    ranked = F.sort_array(F.transform(F.filter(edges, lambda e: e["end"] - e["start"] > 1), masks))
+    # by rank, then by start
+    ranked = F.transform(F.sort_array(F.filter(edges, lambda e: _end(e) - _start(e) > 1)), masks)
 
     def all_steps(longer: Column) -> Column:
         fits = lambda state: lambda e: (state.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(state.bitwiseAND(e["between"])) == 1)
         joined = lambda state: lambda e: F.when(e.isNull(), -state).otherwise(state.bitwiseAND(F.bitwise_not(e["between"])))
         # below zero: nothing more fits
         step = lambda state, _: F.when(state < 0, state).otherwise(_let(F.get(F.filter(longer, fits(state)), 0), joined(state)))
-        return F.abs(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), bit(n + 1) - one, step))
+        return F.abs(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), _bit(n + 1) - F.lit(1).cast("bigint"), step))
 
-    return _let(_let(ranked, all_steps), lambda state: F.filter(F.sequence(F.lit(0), n), lambda i: state.bitwiseAND(bit(i)) != 0))
+    return _let(ranked, all_steps)
 
 
-def fold_best_path(edges: Column, n: Column, unk_score: float) -> Column:
-    """Symbol starts (and the end) of the best path: Viterbi as a fold over the positions, then a
+def fold_best_path(edges: Column, n: Column, scores: list[float], unk_score: float) -> Column:
+    """The state (see :func:`fold_merges`) of the best path: Viterbi as a fold over the positions, then a
     fold back over the places that the best scores came from; of equal paths the one whose last
-    piece is longest."""
+    piece is longest. ``scores`` are those of the ranks."""
+    of_rank = F.from_json(F.lit(json.dumps(scores)), "array<double>")
 
     def step(state: Column, end: Column) -> Column:
-        here = F.filter(edges, lambda e: e["end"] == end)
-        come = F.transform(here, lambda e: F.struct((F.get(state, e["start"])["score"] + e["score"]).alias("score"), (-e["start"]).alias("left")))
-        known = F.exists(here, lambda e: e["start"] == end - 1)
+        here = F.filter(edges, lambda e: _end(e) == end)
+        come = F.transform(here, lambda e: F.struct((F.get(state, _start(e))["score"] + F.get(of_rank, _rank(e).cast("int"))).alias("score"), (-_start(e)).alias("left")))
+        known = F.exists(here, lambda e: _start(e) == end - 1)
         plain = F.struct((F.get(state, end - 1)["score"] + F.lit(unk_score)).alias("score"), (F.lit(1) - end).alias("left"))
         every = F.when(known, come).otherwise(F.concat(come, F.array(plain)))
         return F.concat(state, F.array(F.array_max(every)))
@@ -214,45 +268,99 @@ def fold_best_path(edges: Column, n: Column, unk_score: float) -> Column:
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("left")))
     table_ = F.aggregate(F.sequence(F.lit(1), n), first, step)
 
-    def walked(scores: Column) -> Column:
-        back = lambda path, _: F.when(F.get(path, 0) == 0, path).otherwise(F.concat(F.array(-F.get(scores, F.get(path, 0))["left"]), path))
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
+    def walked(best: Column) -> Column:
+        # the state, and the place that the walk has reached
+        start = F.struct(_bit(n).alias("state"), n.alias("at"))
+
+        def back(x: Column, _: Column) -> Column:
+            left = -F.get(best, x["at"])["left"]
+            return F.when(x["at"] == 0, x).otherwise(F.struct((x["state"] + _bit(left)).alias("state"), left.alias("at")))
+
+        return F.aggregate(F.sequence(F.lit(1), n), start, back, lambda x: x["state"])
 
     return _let(table_, walked)
 
 
 def segmented(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``words`` plus ids (array of int): every word by the lattice, over-long ones by the same rules
-    in Python. One row a word is expected."""
-    others = [c for c in words.columns if c != "word"]
-    short = lattice(words.filter(F.length("word") <= LONG_WORD), model)
-    n = F.length("word")
-    cuts = fold_merges(F.col("edges"), n) if model.kind == BPE else fold_best_path(F.col("edges"), n, model.unk_score)
-    cut = short.withColumn("cuts", cuts)
-    single = lambda char: F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda i: F.conv(F.hex(F.substring(char.cast("binary"), i, F.lit(1))), 16, 10).cast("int"))
-
-    def parts_of(cuts: Column) -> Column:
-        def ids_of(start: Column, i: Column) -> Column:
-            # edges are found by one number for both their ends
-            hit = F.get(F.col("edges.id"), F.array_position(F.col("keys"), start * 1024 + F.get(cuts, i + 1)).cast("int") - 1)
-            if model.byte_ids:
-                known = F.array(*map(F.lit, model.byte_ids))
-                other = F.transform(single(F.substring(F.col("word"), start + 1, F.lit(1))), lambda b: F.get(known, b))
-            else:
-                other = F.array(F.lit(model.unk_id))
-            return F.when(hit.isNotNull(), F.array(hit)).otherwise(other)
-
-        return F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), ids_of)
+    """``words`` plus ids (array of int): every word by the lattice, those of over LONG_WORD code points,
+    whose fold would cost the square of their length, by the same rules in Python (:meth:`encode_word`;
+    tests hold both against each other). One row a word is expected.
 
-    done = cut.withColumn("keys", F.transform("edges", lambda e: e["start"] * 1024 + e["end"])).select("word", F.flatten(_let(F.col("cuts"), parts_of)).alias("ids"), *others)
+    Words are numbered and dealt to tasks of at most WORDS_A_TASK by their numbers, so that the edges of
+    a task's words fit in memory whatever the size of the lexicon."""
+    others = [c for c in words.columns if c != "word"]
+    numbered = materialize(words.withColumn("key", F.monotonically_increasing_id()), "pieces-words")
+    parts = max(1, -(-numbered.count() // WORDS_A_TASK))
+    short = numbered.filter(F.length("word") <= LONG_WORD).repartition(parts, "key")
+    n = F.col("n")
+    state = fold_merges(F.col("edges"), n) if model.kind == BPE else fold_best_path(F.col("edges"), n, list(ranks(model)), model.unk_score)
+    folded = lattice(short.select("key", "word"), model).withColumn("state", state)
+    ends = lambda e: _bit(_start(e)) + _bit(_end(e))
+    within = lambda e: F.col("state").bitwiseAND(_bit(_end(e)) - _bit(_start(e) + 1)) == 0
+    taken = F.filter("edges", lambda e: (F.col("state").bitwiseAND(ends(e)) == ends(e)) & within(e))
+    # by start: one number each of start and id
+    folded = folded.select("key", "state", F.sort_array(F.transform(taken, lambda e: F.call_function("shiftleft", _start(e).cast("bigint"), F.lit(24)) + _id(e))).alias("taken"))
+    size = F.length("word")
+    joined = short.join(folded, "key", "left").withColumns({"state": F.coalesce("state", _bit(size + 1) - F.lit(1).cast("bigint")), "taken": F.coalesce("taken", F.array().cast("array<bigint>"))})
+    every = F.transform("taken", lambda t: t.bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
+    bytes_of = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.conv(F.hex(F.substring(c.cast("binary"), i, F.lit(1))), 16, 10).cast("int"))
+
+    def mixed(start: Column) -> Column:
+        """The piece taken at a place, or what stands for a code point that no piece covers."""
+        hit = F.get(F.filter("taken", lambda t: F.shiftright(t, 24).cast("int") == start), 0)
+        if model.byte_ids:
+            other = F.transform(bytes_of(F.substring(F.col("word"), start + 1, F.lit(1))), lambda b: F.get(F.array(*map(F.lit, model.byte_ids)), b))
+        else:
+            other = F.array(F.lit(model.unk_id))
+        return F.when(hit.isNotNull(), F.array(hit.bitwiseAND(F.lit(0xFFFFFF)).cast("int"))).otherwise(other)
+
+    places = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.col("state").bitwiseAND(_bit(i)) != 0)
+    ids = F.when(F.size("taken") == F.bit_count("state") - 1, every).otherwise(F.flatten(F.transform(places, mixed)))
+    done = joined.select("word", ids.alias("ids"), *others)
 
     @F.pandas_udf("array<int>")
-    def folded(column):
+    def folded_long(column):
         import pandas as pd
 
         return pd.Series([model.encode_word(w) for w in column])
 
-    return done.unionByName(words.filter(F.length("word") > LONG_WORD).select("word", folded("word").alias("ids"), *others))
+    out = done.unionByName(numbered.filter(F.length("word") > LONG_WORD).select("word", folded_long("word").alias("ids"), *others))
+    out._table_path = numbered._table_path
+    return out
+
+
+def words_of_blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
+    """``docs`` (block, text) to word and masks, an array of (group, mask): bit b of a group's mask says
+    that block 64 * group + b holds the word. Each task tells a word once for what it has at hand."""
+    pattern = model.pattern
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        held: dict[int, dict[str, int]] = {}
+        count = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for group, words in held.items():
+                masks = np.fromiter(words.values(), np.uint64, len(words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(np.full(len(words), group, np.int32)), pa.array(masks)], ["word", "group", "mask"])
+            held.clear()
+
+        for b in batches:
+            for block, text in zip(b.column("block").to_pylist(), b.column("text"), strict=True):
+                group, bit = block // 64, 1 << block % 64
+                words = held.setdefault(group, {})
+                before, get = len(words), words.get
+                for w in set(find(SPACE + text.as_py().replace(" ", SPACE))):
+                    words[w] = get(w, 0) | bit
+                count += len(words) - before
+                if count >= HELD_WORDS:
+                    yield from out()
+                    count = 0
+        yield from out()
+
+    found = docs.select("block", "text").filter("text <> ''").mapInArrow(run, "word string, group int, mask long")
+    masks = found.groupBy("word", "group").agg(F.bit_or("mask").alias("mask"))
+    return masks.groupBy("word").agg(F.collect_list(F.struct("group", "mask")).alias("masks"))
 
 
 def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -263,20 +371,21 @@ def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int =
     A word that a third of all documents hold costs a row a block. Texts travel compressed. Null and
     empty texts give no ids; rows of equal id stay rows.
     """
+    spark = documents.sparkSession
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(blocks)).cast("int"))
-    body = F.concat(F.lit(SPACE), F.replace(F.col("text"), F.lit(" "), F.lit(SPACE)))
-    words = docs.filter("text <> ''").select("block", F.explode(F.regexp_extract_all(body, F.lit(model.pattern), F.lit(0))).alias("word"))
-    masks = words.groupBy("word", F.floor(F.col("block") / 64).cast("int").alias("group")).agg(F.bit_or(F.expr("shiftleft(1L, block % 64)")).alias("mask"))
-    if blocks <= 64:
-        # one group: the word alone is the key of the one shuffle
-        masks = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, block % 64)")).alias("mask")).select("word", F.array(F.struct(F.lit(0).alias("group"), F.col("mask"))).alias("masks"))
-    else:
-        masks = masks.groupBy("word").agg(F.collect_list(F.struct("group", "mask")).alias("masks"))
-    lexicon = materialize(segmented(masks, model), "pieces-lexicon")
-    free_shuffles(documents.sparkSession)
+    words = segmented(words_of_blocks(docs, model), model)
+    # the edges of a task's words are gathered in memory, which WORDS_A_TASK bounds, and not by sorting
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(4 * WORDS_A_TASK))
+    try:
+        lexicon = materialize(words, "pieces-lexicon")
+    finally:
+        spark.conf.set(name, before)
+    discard(words)
     held = F.flatten(F.transform("masks", lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(m["mask"], b) == 1), lambda b: b + m["group"] * 64)))
     spread = lexicon.select(F.explode(held).alias("block"), "word", "ids")
     kind = documents.schema["doc_id"].dataType

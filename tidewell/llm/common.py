@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import is_remote
@@ -55,6 +58,16 @@ def free_shuffles(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that a finished task's worker no longer uses back to the system, as far as that can be
+    done: idle workers stay beside those of later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, or the first of ``name_1``, ``name_2``, ... that no column bears (case aside)."""
     low, n, out = {c.lower() for c in taken}, 0, name

@@ -17,10 +17,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import discard, materialize
+from .common import discard, materialize, trim
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -28,9 +31,11 @@ SPACE = "▁"
 LONG_WORD = 60
 #: Text bytes of one block of documents.
 BLOCK_BYTES = 16 << 20
-#: Words that one task segments at most on average, and words that a task gathers before it hands them on.
-WORDS_A_TASK, HELD_WORDS = 50_000, 200_000
+#: Words that one task segments, on average.
+WORDS_A_TASK = 50_000
 UNIGRAM, BPE = 1, 2
+#: Tokens that a task gathers before it hands their words on.
+HELD_TOKENS = 400_000
 
 
 def _class(points: list[int]) -> str:
@@ -163,16 +168,20 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; invalid bytes become U+FFFD, an unknown id " ⁇ "."""
-        by_byte = {i: b for b, i in enumerate(self.byte_ids)} if self.byte_ids else {}
-        out = bytearray()
-        for i in ids:
-            if i in by_byte:
-                out.append(by_byte[i])
-            elif i == self.unk_id:
-                out += " ⁇ ".encode()
-            else:
-                out += self.names[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        return Speller(self.names, self.byte_ids, self.unk_id).decode(ids)
+
+
+class Speller:
+    """Decodes ids: what each stands for, as bytes."""
+
+    def __init__(self, names: list[str], byte_ids: list[int] | None, unk_id: int) -> None:
+        self.raw = [n.replace(SPACE, " ").encode() for n in names]
+        for byte, i in enumerate(byte_ids or ()):
+            self.raw[i] = bytes([byte])
+        self.raw[unk_id] = " ⁇ ".encode()
+
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -318,17 +327,58 @@ def segmented(words: DataFrame, model: PieceModel) -> DataFrame:
     ids = F.when(F.size("taken") == F.bit_count("state") - 1, every).otherwise(F.flatten(F.transform(places, mixed)))
     done = joined.select("word", ids.alias("ids"), *others)
 
-    @F.pandas_udf("array<int>")
-    def folded_long(column):
-        import pandas as pd
+    schema = numbered.drop("key", "word").schema
+    schema = StructType([StructField("word", StringType()), StructField("ids", ArrayType(IntegerType())), *schema.fields])
 
-        return pd.Series([model.encode_word(w) for w in column])
+    def folded_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array([model.encode_word(w.as_py()) for w in b.column("word")], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("word"), ids, *(b.column(c) for c in others)], schema.names)
 
-    out = done.unionByName(numbered.filter(F.length("word") > LONG_WORD).select("word", folded_long("word").alias("ids"), *others))
+    out = done.unionByName(numbered.filter(F.length("word") > LONG_WORD).select("word", *others).mapInArrow(folded_long, schema))
     out._table_path = numbered._table_path
     return out
 
 
+_TOKENS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Texts cut before every run of spaces, which no word of :attr:`PieceModel.pattern` reaches across:
+    the order in which rows are told, the tokens of each, their numbers row by row, and what the numbers
+    stand for, spaces written as the model does and one put before each text.
+
+    Texts whose spaces stand one by one between other characters are split by Arrow; the others, told
+    last, by a pattern. An empty text has no token."""
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")))
+    first, last = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (pc.invert(odd), odd))
+    lists = pc.split_pattern(texts.take(pa.array(first)), " ")
+    told = lists.flatten().dictionary_encode()
+    names = [SPACE + x for x in told.dictionary.to_pylist()]
+    number = {}
+    more, sizes = [], []
+    for i in last.tolist():
+        t = texts[i].as_py()
+        found = _TOKENS.findall(SPACE + t.replace(" ", SPACE)) if t else []
+        more += [number.setdefault(x, len(names) + len(number)) for x in found]
+        sizes.append(len(found))
+    counts = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), np.array(sizes, np.int64)])
+    codes = np.concatenate([told.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.array(more, np.int64)])
+    return np.concatenate([first, last]), counts, codes, names + list(number)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches flat[ends[i] : ends[i + 1]] for each i of ``at``, one after the other."""
+    size = ends[at + 1] - ends[at]
+    total = np.cumsum(size)
+    return flat[np.arange(total[-1] if len(total) else 0) + np.repeat(ends[at] - total + size, size)]
+
+
 def words_of_blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
     """``docs`` (block, text) to word and masks, an array of (group, mask): bit b of a group's mask says
     that block 64 * group + b holds the word. Each task tells a word once for what it has at hand."""
@@ -336,11 +386,16 @@ def words_of_blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
-        held: dict[int, dict[str, int]] = {}
+        held: dict[int, dict[str, int]] = {}  # by group: what stands between spaces, and its blocks
         count = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for group, words in held.items():
+            for group, tokens in held.items():
+                words: dict[str, int] = {}
+                get = words.get
+                for token, mask in tokens.items():
+                    for w in find(token):
+                        words[w] = get(w, 0) | mask
                 masks = np.fromiter(words.values(), np.uint64, len(words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(np.full(len(words), group, np.int32)), pa.array(masks)], ["word", "group", "mask"])
             held.clear()
@@ -348,23 +403,25 @@ def words_of_blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
         for b in batches:
             for block, text in zip(b.column("block").to_pylist(), b.column("text"), strict=True):
                 group, bit = block // 64, 1 << block % 64
-                words = held.setdefault(group, {})
-                before, get = len(words), words.get
-                for w in set(find(SPACE + text.as_py().replace(" ", SPACE))):
-                    words[w] = get(w, 0) | bit
-                count += len(words) - before
-                if count >= HELD_WORDS:
+                tokens = held.setdefault(group, {})
+                before, get = len(tokens), tokens.get
+                for t in set(_TOKENS.findall(SPACE + text.as_py().replace(" ", SPACE))):
+                    tokens[t] = get(t, 0) | bit
+                count += len(tokens) - before
+                if count >= HELD_TOKENS:
                     yield from out()
                     count = 0
         yield from out()
+        trim()
 
     found = docs.select("block", "text").filter("text <> ''").mapInArrow(run, "word string, group int, mask long")
     masks = found.groupBy("word", "group").agg(F.bit_or("mask").alias("mask"))
     return masks.groupBy("word").agg(F.collect_list(F.struct("group", "mask")).alias("masks"))
 
 
-def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids for every row: the ids that the model's own encoder gives for the whole text.
+def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id, ids for every row: the ids that the model's own encoder gives for the whole text; with
+    ``decoded`` also text, what decoding those ids gives.
 
     Documents are dealt to blocks by a hash of their id; each distinct word remembers its blocks as a
     bit mask, is segmented once, and goes back to those blocks, where the documents are put together.
@@ -389,7 +446,8 @@ def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int =
     held = F.flatten(F.transform("masks", lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(m["mask"], b) == 1), lambda b: b + m["group"] * 64)))
     spread = lexicon.select(F.explode(held).alias("block"), "word", "ids")
     kind = documents.schema["doc_id"].dataType
-    pattern = model.pattern
+    pattern, speller = model.pattern, Speller(model.names, model.byte_ids, model.unk_id)
+    result = pa.schema([("doc_id", to_arrow_type(kind)), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * decoded)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
@@ -405,52 +463,64 @@ def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int =
                     yield pa.RecordBatch.from_arrays([pa.array([block[part[0]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "frame"])
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+        frames = [pa.ipc.open_stream(x.as_py()).read_all() for x in left.column("frame")]
+        if not frames:
+            return result.empty_table()
+        rows = pa.concat_tables(frames).combine_chunks()
+        del frames
+        order, counts, codes, names = coded(_whole(rows.column("text")))
+        doc_ids = _whole(rows.column("doc_id")).take(pa.array(order))
+        del rows
         place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        lists = right.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-        flat = lists.flatten().to_numpy(zero_copy_only=False) if len(place) else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]) if len(place) else np.zeros(1, np.int64)
-        find, doc_ids, out, sizes = re.compile(pattern).findall, [], [], []
-        for frame in left.column("frame"):
-            rows = pa.ipc.open_stream(frame.as_py()).read_all()
-            doc_ids.append(rows.column("doc_id").combine_chunks())
-            for text in rows.column("text"):
-                t = text.as_py()
-                at = np.fromiter((place[w] for w in find(SPACE + t.replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64)
-                start, size = ends[at], ends[at + 1] - ends[at]
-                total = int(size.sum())
-                index = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-                out.append(flat[index].astype(np.int32))
-                sizes.append(total)
-        ids = pa.concat_arrays([c for x in doc_ids for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])]) if doc_ids else pa.array([], left.schema.field("block").type)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))})
+        lists = _whole(right.column("ids"))
+        flat = lists.flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]) if right.num_rows else np.zeros(1, np.int64)
+        # a token's words, then a token's ids
+        find = re.compile(pattern).findall
+        words, sizes = [], []
+        for x in names:
+            found = find(x)
+            words += map(place.__getitem__, found)
+            sizes.append(len(found))
+        del place, names
+        words = np.array(words, np.int64)
+        by_token = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat, token_ends = _gathered(flat, ends, words), np.concatenate([[0], np.cumsum(ends[words + 1] - ends[words])])[by_token]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        out, lengths, texts = [], [], []
+        for first in range(0, len(counts), 64):
+            ids = _gathered(flat, token_ends, codes[upto[first] : upto[min(first + 64, len(counts))]]).astype(np.int32)
+            of_token = np.concatenate([[0], np.cumsum(token_ends[codes[upto[first] : upto[min(first + 64, len(counts))]] + 1] - token_ends[codes[upto[first] : upto[min(first + 64, len(counts))]]])])
+            cut = of_token[upto[first : first + 65] - upto[first]]
+            out.append(ids)
+            lengths.append(np.diff(cut))
+            if decoded:
+                texts += [speller.decode(ids[a:b].tolist()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32) if lengths else np.zeros(1, np.int32))
+        columns = [doc_ids, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))]
+        done = pa.table(columns + [pa.array(texts, pa.string())] * decoded, names=result.names)
+        del out, texts, words, codes, flat
+        trim()
+        return done
 
     frames = docs.select("block", "doc_id", "text").mapInArrow(packed, "block int, frame binary")
-    return frames.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(assembled, f"doc_id {kind.simpleString()}, ids array<int>")
+    return frames.groupBy("block").cogroup(spread.groupBy("block")).applyInArrow(assembled, f"doc_id {kind.simpleString()}, ids array<int>" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
     """Every column of ``encoded`` but ids, n_pieces and the decoded text; null ids decode as empty."""
-    from pyspark.sql.types import StructType
-
     keep = [c for c in encoded.columns if c not in ("ids", "text", "n_pieces")]
     schema = StructType(list(encoded.select(*keep).schema.fields)).add("ids", encoded.schema["ids"].dataType).add("n_pieces", "long").add("text", "string")
     shared = encoded.sparkSession.sparkContext.broadcast((model.names, model.byte_ids, model.unk_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, byte_ids, unk_id = shared.value
-        raw: list = [n.replace(SPACE, " ").encode() for n in names]
-        for byte, i in enumerate(byte_ids or ()):
-            raw[i] = bytes([byte])
-        raw[unk_id] = " ⁇ ".encode()
-        for b in batches:
+        speller = Speller(*shared.value)
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             texts, counts = [], []
             for x in b.column("ids"):
-                ids = x.values.to_numpy() if x.is_valid else ()
+                ids = x.values.to_numpy().tolist() if x.is_valid else ()
                 counts.append(len(ids))
-                text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
-                texts.append(text[1:] if text.startswith(" ") else text)
+                texts.append(speller.decode(ids))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("ids"), pa.array(counts, pa.int64()), pa.array(texts, pa.string())], [*keep, "ids", "n_pieces", "text"])
 
     return encoded.select(*keep, "ids").mapInArrow(run, schema)
@@ -458,7 +528,7 @@ def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
 
 def round_trip(documents: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids joined by blanks), n_chars and text_sha256 of the
-    text that decoding the ids gives."""
-    model = PieceModel.load(path)
-    decoded = decode_documents(encode_documents(documents, model), model)
-    return decoded.select("doc_id", "n_pieces", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    text that decoding the ids gives. Null and empty texts have no ids and decode as empty; repeated rows
+    each give a row, a null id is kept, an empty table gives none, other columns are not read."""
+    decoded = encode_documents(documents.select("doc_id", "text"), PieceModel.load(path), decoded=True)
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, materialize
+from .common import discard, free_shuffles, materialize, trim
 
 LEAST = 100
 KGRAM = 32
@@ -313,6 +313,7 @@ class SuffixDedup:
                         [pa.array(x) for x in (ids[row], digests[row], s["start"][ok] + np.array(offsets, np.int64)[s["text"][ok]], s["length"][ok].astype(np.int32), s["key"][ok], s["same"][ok], s["ties"][ok].astype(np.int32))],
                         ["id", "digest", "start", "length", "key", "same", "ties"],
                     )
+            trim()
 
         return self.first.mapInArrow(run, schema)
 
@@ -476,6 +477,7 @@ class SuffixDedup:
                 yield out(rows)
             if held:
                 yield out(solved(held))
+            trim()
 
         sorted_ = texts.select("key", "id", "digest", "start", "bytes").repartition("key").sortWithinPartitions("key")
         return sorted_.mapInArrow(run, "id long, digest long, start long, end long")

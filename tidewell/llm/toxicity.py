@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import discard, free_name, materialize
+from .common import discard, free_name, materialize, trim
 
 #: Most labelled documents that training reads, those with the smallest hashed ids, each whole.
 SAMPLE_DOCS = 8_192
@@ -194,6 +194,8 @@ def score_documents(documents: DataFrame, model: Model, keep: list[str] | None =
                     # one sentence at 0.5 lifts its document to 0.5
                     more.append(pa.array([located(scorer, x.as_py()) if y >= 0.5 else [] for x, y in zip(b.column(at), scores, strict=True)], kind))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *more], [*names[: len(keep)], "_score", *["_spans"] * sentences])
+            del whole, b
+        trim()
 
     out = numbered.mapInArrow(run, schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=False)), F.col("_score").alias(score), *[F.col("_spans").alias("spans")] * sentences)

@@ -432,6 +432,14 @@ def test_ngram_components(docs, k, num, den):
     assert got == brute_components(corpus(), k, num, den)
 
 
+def test_one_id_with_two_texts(spark):
+    r = random.Random(41)
+    a, b = prose(60, r), prose(60, r)
+    df = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (2, a + " end", "y"), (3, b + " end", "z"), (4, prose(60, r), None)], "doc_id long, text string, tokens string")
+    got = sorted((x.doc_id, x.component_id) for x in ngram_join.ngram_components(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_ngram_edges(spark, docs, empty):
     assert ngram_join.ngram_components(empty).count() == 0
     twice = docs.unionByName(docs)

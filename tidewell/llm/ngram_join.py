@@ -65,18 +65,21 @@ class JaccardJoin:
         zones = materialize(facts, "ngram-zones")
         #: doc_id, n, k1, k2: one row a document.
         self.facts = materialize(zones.drop("zone"), "ngram-facts")
-        classes = self.facts.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.min("n").alias("n"))
-        self.classes = materialize(classes, "ngram-classes")
+        classes = self.facts.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+        #: cid, doc_id (the smallest), n, k1, k2: one row a set, with a number of its own that is fixed
+        #: when the table is written, as one id may stand for several sets.
+        self.classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
         # n-grams of the zone that no other row holds, counted for their only holder
-        alone = zones.filter("n > 0").select(F.explode("zone").alias("token"), "doc_id").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("doc_id"))
-        lonely = alone.filter("df = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("u"))
-        kept = self.classes.join(lonely.withColumnRenamed("doc_id", "cid"), "cid", "left").filter(F.coalesce("u", F.lit(0)) <= self._spare(F.col("n"))).select("cid")
+        alone = zones.filter("n > 0").select(F.explode("zone").alias("token"), "k1").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("k1").alias("k1"))
+        lonely = alone.filter("df = 1").groupBy("k1").agg(F.count(F.lit(1)).alias("u"))
+        kept = self.classes.join(lonely, "k1", "left").filter(F.coalesce("u", F.lit(0)) <= self._spare(F.col("n"))).select("cid", "k1", "k2", F.col("doc_id").alias("_id"))
         kept = materialize(kept, "ngram-kept")
         discard(zones)
-        chosen = self.docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, F.col("doc_id") == F.col("cid"), "left_semi")
-        # rows may repeat a doc_id: one set for each class
-        own = _with_sets(chosen, self.words).select(F.col("doc_id").alias("cid"), "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2"))
-        own = own.join(self.classes.select("cid", "k1", "k2"), ["cid", "k1", "k2"], "left_semi").dropDuplicates(["cid"]).select("cid", "n", "tokens")
+        ids = kept.select("_id")
+        chosen = self.docs.join(F.broadcast(ids) if kept.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+        # rows may repeat a doc_id, and an id several sets: one row for each class
+        own = _with_sets(chosen, self.words).withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64("tokens", F.lit(1))})
+        own = own.join(kept, ["k1", "k2"]).filter("doc_id = _id").dropDuplicates(["cid"]).select("cid", F.size("tokens").alias("n"), "tokens")
         self.sets = materialize(own, "ngram-sets")
         rows = self.sets.select(F.explode("tokens").alias("token"), "cid", "n")
         shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -136,14 +139,20 @@ class JaccardJoin:
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row of the input."""
-        comps = self.classes.join(self.labels.select(F.col("node").alias("cid"), "component"), "cid", "left").select("k1", "k2", F.coalesce("component", "cid").alias("component"))
+        named = self.classes.join(self.labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+        comps = named.join(least, "component").select("k1", "k2", F.col("least").alias("component"))
         docs = self.facts.select("doc_id", "n", "k1", "k2")
         held = docs.join(comps, ["k1", "k2"], "left")
         return held.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def ngram_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id at 3-word shingles and a similarity of 90 %."""
+    """doc_id, n_shingles, component_id at 3-word shingles and a similarity of 90 %.
+
+    Every row keeps a row. Null, empty and blank texts have the size 0 and their own id as component;
+    rows without an id have no partner and a null component, or that of a row with the same set. An id
+    with several texts counts for each of them. An empty table gives none; other columns are not read."""
     return JaccardJoin(documents, words=3, num=9, den=10).membership()
 
 

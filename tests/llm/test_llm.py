@@ -321,6 +321,41 @@ def test_mix(spark, docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [1024, 2])
+def test_mix_against_one_process(docs, group, monkeypatch):
+    """The words taken, worked out in one process: documents in hash order, slots 0 .. quota - 1 of each
+    source through its permutations, and the words of the blocks they fall on."""
+    monkeypatch.setattr(mixing, "SHARD_GROUP", group)
+    mix = mixing.Mix(docs.filter("doc_id % 5 > 0"), block_words=8, shard_blocks=16)
+    rows = docs.filter("doc_id % 5 > 0").select("doc_id", "source", "text", F.xxhash64(F.col("doc_id"), F.lit(mixing.SEED)).alias("h")).collect()
+    sizes, words = collections.Counter(), {}
+    for r in rows:
+        words[r.doc_id] = len(WORD.findall(r.text or ""))
+        sizes[r.source] += words[r.doc_id]
+    given = mixing.cyclic_weights(list(sizes))
+    quotas = mixing.block_quotas(sizes, mixing.capped_targets(sizes, given), 8)
+    want = collections.Counter()
+    for s, size in sizes.items():
+        n, owner = -(-size // 8), []
+        for r in sorted((r for r in rows if r.source == s), key=lambda r: (r.h, r.doc_id)):
+            owner += [r.doc_id] * words[r.doc_id]
+        for i in range(quotas[s]):
+            block = int(mixing.permuted(np.array([i % n]), n, mixing._key(mixing.SEED, s) + i // n)[0])
+            want.update(owner[block * 8 : block * 8 + 8])
+    assert {r.doc_id: r.taken for r in mix.taken().collect()} == {d: want[d] for d in words}
+    slots = collections.Counter((r.source_no, r.slot) for r in mix.slots.collect())
+    assert slots == collections.Counter({(i, k): 1 for i, s in enumerate(given) for k in range(quotas[s])})
+    shards = collections.Counter(r.shard for r in mix.slots.collect())
+    assert set(shards.values()) <= {16, sum(quotas.values()) % 16}
+
+
+def test_mix_with_clashing_names(docs):
+    more = docs.withColumn("size", F.lit("a")).withColumn("start", F.lit(0)).withColumn("_bucket", F.lit(1)).withColumn("block", F.lit(2))
+    assert mixing.mixed(more).count() == docs.count()
+    out = mixing.mixed_documents(more)
+    assert out.columns == more.columns and out.count() == mixing.mixed_documents(docs).count()
+
+
 def test_mixed_rows_hold_the_words_taken(docs):
     taken = {r.doc_id: r.taken for r in mixing.mixed(docs).collect()}
     got = collections.Counter()

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ BLOCK_WORDS = 32
 SHARD_BLOCKS = 4096
 MAX_REPEATS = 3
 SEED = 20240229
-#: Rows of one prefix-sum bucket.
-BUCKET_ROWS = 4096
+#: Rows, and shards, of one prefix-sum bucket.
+BUCKET_ROWS, SHARD_GROUP = 4096, 1024
+#: Sources up to which facts of theirs are broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def cyclic_weights(sources: list[str | None]) -> dict[str | None, int]:
@@ -131,12 +134,18 @@ def draw_shards(spark: SparkSession, quotas: list[int], shard_blocks: int = SHAR
 def slots(draws: DataFrame, quotas: list[int]) -> DataFrame:
     """shard, source_no, low, high: runs of slot numbers of a source, each number below its quota once.
 
-    A source's draws are numbered over the shards. Numbers from its quota on are excess; the excess
-    of all sources, numbered in turn, falls to the sources that drew too few.
+    A source's draws are numbered over the shards, first within groups of SHARD_GROUP shards and then
+    over the groups, so that no task holds all runs of a large source. Numbers from its quota on are
+    excess; the excess of all sources, numbered in turn, falls to the sources that drew too few: the
+    needs it meets are found in a sorted array of their bounds, not by comparing all with all.
     """
     spark = draws.sparkSession
-    by = Window.partitionBy("source_no").orderBy("shard")
-    runs = draws.filter("n > 0").withColumn("_end", F.sum("n").over(by)).withColumn("_start", F.col("_end") - F.col("n"))
+    runs = draws.filter("n > 0").withColumn("_group", F.floor(F.col("shard") / SHARD_GROUP))
+    sums = runs.groupBy("source_no", "_group").agg(F.sum("n").alias("_n"))
+    sums = sums.withColumn("_base", F.sum("_n").over(Window.partitionBy("source_no").orderBy("_group")) - F.col("_n"))
+    by = Window.partitionBy("source_no", "_group").orderBy("shard")
+    runs = runs.withColumn("_within", F.sum("n").over(by)).join(sums.select("source_no", "_group", "_base"), ["source_no", "_group"])
+    runs = runs.withColumn("_end", F.col("_base") + F.col("_within")).withColumn("_start", F.col("_end") - F.col("n"))
     totals = {r["source_no"]: r["t"] for r in draws.groupBy("source_no").agg(F.sum("n").alias("t")).collect()}
     over, under, at = {}, [], 0
     for s, q in enumerate(quotas):
@@ -149,20 +158,31 @@ def slots(draws: DataFrame, quotas: list[int]) -> DataFrame:
             under.append((s, gap, gap + q - t, t))
             gap += q - t
     limits = spark.createDataFrame([(s, q, over.get(s, 0)) for s, q in enumerate(quotas)], "source_no long, quota long, first long")
-    runs = runs.join(F.broadcast(limits), "source_no")
+    runs = runs.join(F.broadcast(limits) if len(quotas) <= BROADCAST_SOURCES else limits, "source_no")
     kept = runs.select("shard", "source_no", F.col("_start").alias("low"), F.least("_end", "quota").alias("high")).filter("low < high")
     excess = runs.filter("_end > quota").select("shard", (F.col("first") + F.greatest(F.col("_start") - F.col("quota"), F.lit(0))).alias("a"), (F.col("first") + F.col("_end") - F.col("quota")).alias("b"))
     if not under:
         return kept
-    needs = spark.createDataFrame(under, "source_no long, c long, d long, drawn long")
-    given = excess.join(F.broadcast(needs), (F.col("a") < F.col("d")) & (F.col("c") < F.col("b"))).select(
-        "shard", "source_no", (F.col("drawn") + F.greatest("a", "c") - F.col("c")).alias("low"), (F.col("drawn") + F.least("b", "d") - F.col("c")).alias("high")
-    )
+    meets = partial(_met, under)
+    given = excess.mapInPandas(meets, "shard long, source_no long, low long, high long")
     return kept.unionByName(given)
 
 
+def _met(needs: list[tuple[int, int, int, int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of excess [a, b) cut at the bounds of the needs (source, from, to, drawn) that they meet."""
+    source, low, high, drawn = (np.array(x, np.int64) for x in zip(*needs, strict=True))
+    for b in batches:
+        first, last = np.searchsorted(high, b["a"], side="right"), np.searchsorted(low, b["b"], side="left")
+        size = np.maximum(last - first, 0)
+        row = np.repeat(np.arange(len(b)), size)
+        need = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        begin, end = np.maximum(b["a"].to_numpy()[row], low[need]), np.minimum(b["b"].to_numpy()[row], high[need])
+        yield pd.DataFrame({"shard": b["shard"].to_numpy()[row], "source_no": source[need], "low": drawn[need] + begin - low[need], "high": drawn[need] + end - low[need]})
+
+
 def slot_blocks(runs: DataFrame, counts: list[int], keys: list[int]) -> DataFrame:
-    """shard, slot, source_no, block: each slot's block by its pass's permutation."""
+    """shard, slot, source_no, block: each slot's block by its pass's permutation. Runs, of one shard
+    each, are dealt evenly before they are told slot by slot."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -176,7 +196,7 @@ def slot_blocks(runs: DataFrame, counts: list[int], keys: list[int]) -> DataFram
                     block[at] = permuted(inside[at], n, keys[s] + int(t))
                 yield pd.DataFrame({"shard": shard, "slot": slot, "source_no": s, "block": block})
 
-    return runs.select("shard", "source_no", "low", "high").mapInPandas(run, "shard long, slot long, source_no long, block long")
+    return runs.select("shard", "source_no", "low", "high").repartition("shard", "source_no", "low").mapInPandas(run, "shard long, slot long, source_no long, block long")
 
 
 class Mix:
@@ -201,7 +221,7 @@ class Mix:
         self.quotas = [quotas[s] for s in order]
         counts = [-(-self.sizes[s] // block_words) for s in order]
         names = spark.createDataFrame([(s, i, self.sizes[s], self.targets[s]) for i, s in enumerate(order)], "_name string, source_no long, source_size long, target double")
-        self.docs = packed(docs, self.n_docs, seed).join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+        self.docs = packed(docs, self.n_docs, seed).join(F.broadcast(names) if len(order) <= BROADCAST_SOURCES else names, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
         self.slots = slot_blocks(slots(draw_shards(spark, self.quotas, shard_blocks, seed), self.quotas), counts, [_key(seed, s) for s in order])
         block = F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)))
         first = F.col("block") * block_words
@@ -224,7 +244,9 @@ class Mix:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """One row per document; see :class:`Mix`. An empty table gives an empty result."""
+    """One row per document; see :class:`Mix`. Null and blank texts have the size 0 and nothing taken,
+    repeated rows are packed one after the other, a null source is a source of its own, an empty table
+    gives an empty result; other columns are not read."""
     return Mix(documents).taken()
 
 

@@ -42,11 +42,9 @@ def test_smoothing_across_blocks(spark, n):
     x[5::17] = np.nan
     rows = [("e", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
     got = [r.s for r in series.smoothed(spark.createDataFrame(rows, "entity_id string, trade_date int, x double"), "x", 5, "s", block=16).orderBy("trade_date").collect()]
-    seen, want, s = [], [], None
-    for v in x:
-        if not np.isnan(v):
-            seen.append(v)
-            s = np.mean(seen) if len(seen) == 5 else (s * 4 + v) / 5 if len(seen) > 5 else None
+    want, s = [], None
+    for i, v in enumerate(x):
+        s = np.nanmean(x[:5]) if i == 4 else (s * 4 + v) / 5 if i > 4 and not np.isnan(v) else s
         want.append(s)
     assert [g is None for g in got] == [w is None for w in want]
     assert np.allclose([g for g in got if g is not None], [w for w in want if w is not None], rtol=1e-9)
@@ -60,13 +58,35 @@ def test_stop_wins_a_tie_and_gaps_fill_at_the_open(spark):
 
 
 def test_darvas_box_by_hand(spark):
-    high = [10, 12, 11, 11, 11, 10, 10, 10, 13, 14, 8]
-    low = [9, 10, 9, 8, 9, 9, 9, 9, 12, 13, 7]
-    close = [9.5, 11, 10, 9, 10, 9.5, 9.5, 9.5, 12.5, 13.5, 7.5]
+    """A lookback of 2 and a trend of 2: a box that breaks out, one that is rejected, one left open."""
+    high = [10, 12, 11, 11, 11, 10, 10, 10, 13, 14, 13, 13, 9, 9]
+    low = [9, 10, 9, 8, 9, 9, 9, 9, 12, 13, 12, 12, 7, 7]
+    close = [9.5, 11, 9, 9, 10, 9.5, 9.5, 9.5, 12.5, 13.5, 12.5, 12.5, 7.5, 8.5]
     rows = [("e", D(2024, 1, i + 1), float(h), float(a), float(c)) for i, (h, a, c) in enumerate(zip(high, low, close))]
-    got = rules.darvas(spark.createDataFrame(rows, "entity_id string, trade_date date, high double, low double, close double")).collect()
-    assert (got[0].box_high, got[0].box_low, got[0].outcome) == (12.0, 8.0, "BREAKOUT")
-    assert got[0].end_date == D(2024, 1, 9) and got[0].exit_date == D(2024, 1, 11)
+    got = rules.darvas(spark.createDataFrame(rows, "entity_id string, trade_date date, high double, low double, close double"), 2, 2, 3).orderBy("top_date").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (D(2024, 1, 2), 12.0, D(2024, 1, 5), 8.0, D(2024, 1, 7), "BREAKOUT", D(2024, 1, 9)),
+        (D(2024, 1, 10), 14.0, D(2024, 1, 13), None, None, "TREND_REJECTED", None),
+        (D(2024, 1, 14), 9.0, None, None, None, "TOP_OPEN", None),
+    ]
+
+
+def test_ascending_lows_by_hand(spark):
+    def day(n, lows):
+        return [("e", D(2024, 1, n), i, float(x)) for i, x in enumerate(lows)]
+
+    rows = day(1, [9, 5, 7, 6, 8, 6.5, 9]) + day(2, [9, 5, 7, 6, 8, 4, 9]) + day(3, [9, 5, 7, 6, 8, 5.5, 9]) + day(4, [9, 5, 6])
+    bars = spark.createDataFrame(rows, "entity_id string, session date, bar_no int, low double")
+    sweeps = bars.select("entity_id", "session").distinct().select("*", F.lit(8.5).alias("zone"), F.lit(1).alias("sweep_bar"), F.lit(5.0).alias("sweep_low"))
+    got = [tuple(r)[5:] for r in rules.ascending_lows(bars, sweeps, 2).orderBy("session").collect()]
+    assert got == [("CONFIRMED", 6, 6.5, 2), ("BROKEN", 5, None, None), ("INCOMPLETE", None, None, 1), ("INCOMPLETE", None, None, 0)]
+
+
+def test_ttm_counts_only_what_was_known(spark):
+    q = spark.createDataFrame([("a", D(2023, 3 * k, 28), D(2023, 3 * k, 28) if k != 2 else D(2025, 1, 1), float(k)) for k in range(1, 5)], "isin string, period_end date, known_date date, value double")
+    asks = spark.createDataFrame([("a", D(2024, 1, 1)), ("a", D(2025, 1, 1)), ("a", D(2022, 1, 1))], "isin string, at date")
+    got = [tuple(r)[1:4] for r in bitemporal.ttm_as_of(q, asks).orderBy("at").collect()]
+    assert got == [(D(2024, 1, 1), 8.0, 3), (D(2025, 1, 1), 3.0, 2)]
 
 
 def test_concurrency_ends_at_zero(spark):

@@ -69,3 +69,18 @@ def guard_range(end: str, seal: str, authorised: bool = False) -> None:
     if end >= seal and not authorised:
         raise PermissionError(f"{end} lies in the window sealed from {seal}")
 
+
+def ttm_as_of(quarters: DataFrame, asks: DataFrame, count: int = 4) -> DataFrame:
+    """For each (isin, at) the sum of the last ``count`` quarters by period, counted back from the quarter
+    that became known last, each only if it was known by then: ttm_value, quarters (how many were),
+    latest_period_end, latest_known_date. Asks that nothing was known for give no row.
+
+    An isin's quarters, few however large the table, travel as one sorted array."""
+    listed = quarters.groupBy("isin").agg(F.sort_array(F.collect_list(F.struct("period_end", "known_date", "value"))).alias("_all"))
+    known = F.filter(F.transform("_all", lambda x, i: F.struct(x["known_date"].alias("k"), i.alias("i"), x["period_end"].alias("p"))), lambda x: x["k"] <= F.col("at"))
+    held = asks.join(listed, "isin").withColumn("_last", F.array_max(known)).filter("_last is not null")
+    first = F.greatest(F.col("_last.i") - (count - 1), F.lit(0))
+    held = held.withColumn("_four", F.filter(F.slice("_all", first + 1, F.col("_last.i") - first + 1), lambda x: x["known_date"] <= F.col("at")))
+    total = F.aggregate("_four", F.lit(0.0), lambda a, x: a + F.coalesce(x["value"], F.lit(0.0)))
+    n = F.size(F.filter("_four", lambda x: x["value"].isNotNull())).cast("bigint")
+    return held.select("isin", "at", total.alias("ttm_value"), n.alias("quarters"), F.col("_last.p").alias("latest_period_end"), F.col("_last.k").alias("latest_known_date"))

@@ -78,13 +78,14 @@ def trade_statistics(trades: DataFrame, ret: str, keys: list[str] | None = None)
 
 
 def swing_signals(df: DataFrame, momentum: str, turnover_: str, short_return: str, volume_ratio: str, market_ok: str, date: str = "trade_date") -> DataFrame:
-    """Momentum and liquidity in the top decile, five-day return in the bottom third of the whole
-    cross-section, volume above 1.5 times its mean, and the market above its average."""
+    """Momentum in the top decile, median turnover in the upper two thirds, five-day return in the bottom
+    third, each of the whole cross-section, volume above 1.5 times its mean, and the market above its
+    average."""
     w = Window.partitionBy(date)
     edge = lambda c, p: F.percentile(c, F.lit(p)).over(w)
     return df.withColumn(
         "signal",
-        F.coalesce((F.col(momentum) >= edge(momentum, 0.9)) & (F.col(turnover_) >= edge(turnover_, 0.5)) & (F.col(short_return) <= edge(short_return, 1 / 3)) & (F.col(volume_ratio) > 1.5) & F.col(market_ok), F.lit(False)),
+        F.coalesce((F.col(momentum) >= edge(momentum, 0.9)) & (F.col(turnover_) > edge(turnover_, 1 / 3)) & (F.col(short_return) <= edge(short_return, 1 / 3)) & (F.col(volume_ratio) > 1.5) & F.col(market_ok), F.lit(False)),
     )
 
 
@@ -94,17 +95,17 @@ def brokerage(turnover_: Column) -> Column:
 
 
 def delivery_costs(buy: Column, sell: Column) -> Column:
-    """Round-trip costs of a delivery trade: brokerage and tax on it, transaction tax, exchange and
-    stamp charges, and the depository's flat fee. Rates are fixed values."""
+    """Round-trip costs of a delivery trade: brokerage and tax on it, transaction tax (both sides', on the
+    sale), exchange and stamp charges, and the depository's flat fee. Rates are fixed values."""
     broker = brokerage(buy) + brokerage(sell)
     exchange = (buy + sell) * 0.0000297
     sebi = (buy + sell) * 0.000001
-    return broker + (buy + sell) * 0.001 + exchange + sebi + buy * 0.00015 + (broker + exchange + sebi) * 0.18 + 15.34
+    return broker + sell * 0.002 + exchange + sebi + buy * 0.00015 + (broker + exchange + sebi) * 0.18 + 23.60
 
 
 def banded_spread(rank: Column) -> Column:
-    """Spread in basis points by liquidity rank."""
-    return F.when(rank <= 50, 3.0).when(rank <= 100, 5.0).when(rank <= 200, 10.0).otherwise(25.0)
+    """Spread in basis points by liquidity rank; unranked names bear the worst. Fixed values."""
+    return F.when(rank.between(1, 50), 2.0).when(rank.between(51, 100), 4.0).otherwise(7.0)
 
 
 def whole_shares(risk: float, stop_distance: Column) -> Column:

@@ -48,35 +48,47 @@ def sweep_reclaims(bars: DataFrame, levels: DataFrame, least: float, most: float
     return b.groupBy(*DAY, "level", "sweep_bar", F.col("_r.bar_no").alias("entry_bar"), F.col("_r.close").alias("entry")).agg(F.min("low").alias("sweep_low"))
 
 
-def fair_value_gaps(bars: DataFrame) -> DataFrame:
-    """high[i] < low[i + 2] in one session; a later gap's third bar ends the older gap's window."""
+def fair_value_gaps(bars: DataFrame, live: int = 30) -> DataFrame:
+    """high[i] < low[i + 2] in one session, the bar between not inside the first; the gap lives for
+    ``live`` bars after its third, or until a later gap's third bar (``live_until``, exclusive)."""
     w = Window.partitionBy(*DAY).orderBy("bar_no")
-    three = bars.withColumns({"_l2": F.lead("low", 2).over(w), "third_bar": F.lead("bar_no", 2).over(w)})
-    gaps = three.filter(F.col("high") < F.col("_l2")).select(*DAY, F.col("bar_no").alias("first_bar"), "third_bar", F.col("high").alias("gap_low"), F.col("_l2").alias("gap_high"))
-    return gaps.withColumn("live_until", F.lead("third_bar").over(Window.partitionBy(*DAY).orderBy("first_bar")))
+    three = bars.withColumns({"_l2": F.lead("low", 2).over(w), "third_bar": F.lead("bar_no", 2).over(w), "_inside": (F.lead("high").over(w) <= F.col("high")) & (F.lead("low").over(w) >= F.col("low"))})
+    gaps = three.filter((F.col("high") < F.col("_l2")) & ~F.col("_inside")).select(*DAY, F.col("bar_no").alias("first_bar"), "third_bar", F.col("high").alias("gap_low"), F.col("_l2").alias("gap_high"))
+    # the least passes over a missing successor
+    return gaps.withColumn("live_until", F.least(F.lead("third_bar").over(Window.partitionBy(*DAY).orderBy("first_bar")), F.col("third_bar") + live + 1))
 
 
 def gap_retests(bars: DataFrame, gaps: DataFrame) -> DataFrame:
     """After a gap: the first bar that touches it, then the first close above its top within its life."""
-    b = gaps.join(bars.select(*DAY, "bar_no", "low", "close"), DAY).filter((F.col("bar_no") > F.col("third_bar")) & (F.col("live_until").isNull() | (F.col("bar_no") < F.col("live_until"))))
+    b = gaps.join(bars.select(*DAY, "bar_no", "low", "close"), DAY).filter((F.col("bar_no") > F.col("third_bar")) & (F.col("bar_no") < F.col("live_until")))
     w = Window.partitionBy(*DAY, "first_bar")
     touched = b.withColumn("touch_bar", F.min(F.when(F.col("low") <= F.col("gap_high"), F.col("bar_no"))).over(w))
     out = touched.filter((F.col("bar_no") >= F.col("touch_bar")) & (F.col("close") > F.col("gap_high")))
     return out.groupBy(*gaps.columns, "touch_bar").agg(F.min("bar_no").alias("entry_bar"))
 
 
-def level_touches(bars: DataFrame, levels: DataFrame, confirm: int = 2) -> DataFrame:
-    """The first bar that trades through the level, then a green or hammer bar within ``confirm`` bars;
-    a red close below the level first is a failure."""
-    b = bars.join(levels, DAY)
-    first = b.filter((F.col("low") <= F.col("level")) & (F.col("high") >= F.col("level"))).groupBy(*DAY, "level").agg(F.min("bar_no").alias("touch_bar"))
-    after = first.join(bars, DAY).filter(F.col("bar_no").between(F.col("touch_bar"), F.col("touch_bar") + confirm))
+def hammer() -> Column:
+    """A lower wick of twice the body and an upper one of no more than it; without a body a lower wick of
+    a fifth of the bar's span. Fixed values."""
     body, span = F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low")
-    hammer = (span > 0) & (F.least("open", "close") - F.col("low") >= 2 * body) & (F.col("high") - F.greatest("open", "close") <= body)
-    good = (F.col("close") > F.col("open")) | hammer
-    bad = (F.col("close") < F.col("open")) & (F.col("close") < F.col("level")) & ~hammer
-    out = after.groupBy(*DAY, "level", "touch_bar").agg(F.min(F.when(good, F.col("bar_no"))).alias("g"), F.min(F.when(bad, F.col("bar_no"))).alias("f"))
-    return out.select(*DAY, "level", "touch_bar", F.when(F.col("f").isNotNull() & (F.col("g").isNull() | (F.col("f") < F.col("g"))), "FAILED").when(F.col("g").isNull(), "UNCONFIRMED").otherwise("CONFIRMED").alias("status"), "g")
+    lower, upper = F.least("open", "close") - F.col("low"), F.col("high") - F.greatest("open", "close")
+    return F.when(body > 0, (lower >= 2 * body) & (upper <= body)).otherwise((span > 0) & (lower >= 0.2 * span))
+
+
+def level_touches(bars: DataFrame, levels: DataFrame, confirm: int = 2) -> DataFrame:
+    """The first bar that trades through the level, then of the ``confirm`` bars strictly after it the
+    first that decides: green or a hammer confirms, red with a close below the level fails; any other
+    leaves the setup as it is. One window pass over the session."""
+    day = Window.partitionBy(*DAY)
+    at = F.col("bar_no")
+    b = bars.join(levels, DAY).withColumn("touch_bar", F.min(F.when((F.col("low") <= F.col("level")) & (F.col("high") >= F.col("level")), at)).over(day))
+    good = (F.col("close") > F.col("open")) | hammer()
+    bad = (F.col("close") < F.col("open")) & (F.col("close") < F.col("level")) & ~hammer()
+    after = at.between(F.col("touch_bar") + 1, F.col("touch_bar") + confirm)
+    first = F.min(F.when(after & (good | bad), F.struct(at.alias("bar"), good.alias("good"))))
+    out = b.filter("touch_bar is not null").groupBy(*DAY, "level", "touch_bar").agg(first.alias("f"))
+    status = F.when(F.col("f").isNull(), "UNCONFIRMED").when(F.col("f.good"), "CONFIRMED").otherwise("FAILED")
+    return out.select(*DAY, "level", "touch_bar", status.alias("status"), F.when(F.col("f.good"), F.col("f.bar")).alias("g"))
 
 
 def box_entries(bars: DataFrame, levels: DataFrame, green: int = 1) -> DataFrame:
@@ -111,73 +123,97 @@ def first_bar_trades(bars: DataFrame, stop: float = 0.05, target: float = 0.125)
     return b.select(*DAY, F.col("bar_no").alias("entry_bar"), "entry", (F.col("entry") * (1 - stop)).alias("stop"), (F.col("entry") * (1 + target)).alias("target"))
 
 
-def _boxes(pdf: pd.DataFrame, confirm: int, rho: float) -> pd.DataFrame:
-    """Darvas boxes of one entity in date order and the trailing-stop trade after each breakout."""
+def _boxes(pdf: pd.DataFrame, lookback: int, trend: int, confirm: int) -> pd.DataFrame:
+    """Darvas boxes of one entity in date order, one phase at a time."""
     pdf = pdf.sort_values("trade_date")
-    rows, high, low, close, dates = [], pdf["high"].to_numpy(), pdf["low"].to_numpy(), pdf["close"].to_numpy(), pdf["trade_date"].to_numpy()
-    i, n = 0, len(pdf)
-    while i < n:
-        # a top holds if it is not passed for ``confirm`` rows, then a bottom likewise
-        top, j = i, i + 1
-        while j < n and j - top <= confirm:
-            if high[j] > high[top]:
-                top = j
-            j += 1
-        if j - top <= confirm:
-            break
-        bottom = min(range(top + 1, j), key=lambda k: (low[k], k))
-        while j < n and j - bottom <= confirm and high[j] <= high[top]:
-            if low[j] < low[bottom]:
-                bottom = j
-            j += 1
-        while j < n and low[bottom] <= close[j] <= high[top]:
-            j += 1
-        if j >= n:
-            rows.append((dates[top], None, high[top], low[bottom], "OPEN", None, None))
-            break
-        if close[j] < low[bottom]:
-            rows.append((dates[top], dates[j], high[top], low[bottom], "BREAKDOWN", None, None))
-            i = j
+    high, low, close, dates = (pdf[c].to_numpy() for c in ("high", "low", "close", "trade_date"))
+    peak = pdf["high"].rolling(lookback, min_periods=lookback).max().to_numpy()
+    mean = pdf["close"].rolling(trend, min_periods=trend).mean().to_numpy()
+    rows, phase = [], "SEEK"
+    top = bottom = quiet_top = quiet_bottom = 0
+    top_set = bottom_set = None
+
+    def ends(outcome: str, day: int | None) -> str:
+        day_of = lambda i: None if i is None else dates[i]
+        rows.append((dates[top], float(high[top]), day_of(top_set), None if top_set is None or outcome == "TREND_REJECTED" else float(low[bottom]), day_of(bottom_set), outcome, day_of(day)))
+        return "SEEK"
+
+    for i in range(len(pdf)):
+        if phase == "SEEK":
+            if high[i] >= peak[i]:  # never where the lookback is not full
+                phase, top, bottom, quiet_top, quiet_bottom, top_set, bottom_set = "TOP", i, i, 0, 0, None, None
+            continue
+        if phase == "BOX":
+            if close[i] > high[top]:
+                phase = ends("BREAKOUT", i)
+            elif close[i] <= low[bottom]:
+                phase = ends("BREAKDOWN", i)
+            continue
+        if phase == "TOP" and high[i] >= high[top]:
+            top = bottom = i
+            quiet_top = quiet_bottom = 0
             continue
-        entry, stop, k = close[j], low[bottom], j + 1
-        risk = entry - stop
-        while k < n and close[k] > stop:
-            if risk > 0 and close[k] >= entry + 2 * risk:
-                stop = max(stop, close[k] * (1 - rho))
-            k += 1
-        rows.append((dates[top], dates[j], high[top], low[bottom], "BREAKOUT", dates[k] if k < n else None, float(close[min(k, n - 1)] / entry - 1)))
-        i = max(k, j + 1)
-    out = pd.DataFrame(rows, columns=["top_date", "end_date", "box_high", "box_low", "outcome", "exit_date", "trade_return"])
+        if phase == "BOTTOM" and close[i] > high[top]:
+            phase = ends("EARLY_BREAKOUT", i)
+            continue
+        bottom, quiet_bottom = (i, 0) if low[i] < low[bottom] else (bottom, quiet_bottom + 1)
+        if phase == "TOP":
+            quiet_top += 1
+            if quiet_top < confirm:
+                continue
+            top_set = i
+            if not close[i] > mean[i]:
+                phase = ends("TREND_REJECTED", None)
+                continue
+            phase = "BOTTOM"
+        if quiet_bottom == confirm:
+            bottom_set, phase = i, "BOX"
+    if phase != "SEEK":
+        ends({"TOP": "TOP_OPEN", "BOTTOM": "BOTTOM_OPEN", "BOX": "UNRESOLVED"}[phase], None)
+    out = pd.DataFrame(rows, columns=["top_date", "box_high", "top_set_date", "box_low", "bottom_set_date", "outcome", "end_date"])
     out.insert(0, "entity_id", pdf["entity_id"].iloc[0])
     return out
 
 
-def darvas(daily: DataFrame, confirm: int = 3, rho: float = 0.08) -> DataFrame:
-    """Boxes and trades of each entity. The state depends on its whole past, so an entity is one task's
-    work: some thousand rows however many entities there are."""
-    schema = f"entity_id {daily.schema['entity_id'].dataType.simpleString()}, top_date date, end_date date, box_high double, box_low double, outcome string, exit_date date, trade_return double"
-    return daily.select("entity_id", "trade_date", "high", "low", "close").groupBy("entity_id").applyInPandas(lambda p: _boxes(p, confirm, rho), schema)
-
-
-def ascending_lows(bars: DataFrame, n: int = 3) -> DataFrame:
-    """Runs of strictly rising local lows: each bar that completes ``n`` of them, the run's last low."""
-
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_no")
-        low, number, out, streak, last = pdf["low"].to_numpy(), pdf["bar_no"].to_numpy(), [], 0, None
-        for i in range(1, len(low) - 1):
-            if low[i] < low[i - 1] and low[i] < low[i + 1]:
-                streak = streak + 1 if last is not None and low[i] > last else 1
-                last = low[i]
-                if streak >= n:
-                    out.append((int(number[i + 1]), float(low[i]), streak))
-        rows = pd.DataFrame(out, columns=["bar_no", "last_low", "streak"])
-        rows.insert(0, "session", pdf["session"].iloc[0])
-        rows.insert(0, "entity_id", pdf["entity_id"].iloc[0])
-        return rows
-
-    kind = bars.schema["entity_id"].dataType.simpleString()
-    return bars.select(*DAY, "bar_no", "low").groupBy(*DAY).applyInPandas(runs, f"entity_id {kind}, session date, bar_no int, last_low double, streak int")
+def darvas(daily: DataFrame, lookback: int = 200, trend: int = 50, confirm: int = 3) -> DataFrame:
+    """Darvas boxes of each entity, each begun by a high of ``lookback`` rows: the top is set after
+    ``confirm`` rows below it, the bottom after as many that make no new low, both counted from the peak.
+    Outcomes: TOP_OPEN, TREND_REJECTED (the close that sets the top is not above the mean of ``trend``
+    closes), EARLY_BREAKOUT (before a bottom), BOTTOM_OPEN, BREAKOUT, BREAKDOWN, UNRESOLVED. The state
+    depends on its whole past, so an entity is one task's work: some thousand rows however many
+    entities there are."""
+    schema = f"entity_id {daily.schema['entity_id'].dataType.simpleString()}, top_date date, box_high double, top_set_date date, box_low double, bottom_set_date date, outcome string, end_date date"
+    return daily.select("entity_id", "trade_date", "high", "low", "close").groupBy("entity_id").applyInPandas(lambda p: _boxes(p, lookback, trend, confirm), schema)
+
+
+def zone_sweeps(bars: DataFrame, zones: DataFrame, after: int) -> DataFrame:
+    """The first bar from ``after`` on whose low lies below the session's zone, with that low."""
+    hit = bars.join(zones, DAY).filter((F.col("bar_no") >= after) & (F.col("low") < F.col("zone")))
+    return hit.groupBy(*DAY, "zone").agg(F.min(F.struct("bar_no", "low")).alias("s")).select(*DAY, "zone", F.col("s.bar_no").alias("sweep_bar"), F.col("s.low").alias("sweep_low"))
+
+
+def ascending_lows(bars: DataFrame, sweeps: DataFrame, n: int = 3) -> DataFrame:
+    """After a sweep (zone, sweep_bar, sweep_low of a session) local lows at or below the zone, each above
+    the last counted one; a lower one starts the count anew. CONFIRMED on the bar after the ``n``-th,
+    BROKEN by a low beyond the sweep's before or on that bar, else INCOMPLETE. Windows over the session;
+    a low is local if both neighbouring bars' lows are above it."""
+    w = Window.partitionBy(*DAY).orderBy("bar_no")
+    at = F.col("bar_no")
+    b = bars.select(*DAY, "bar_no", "low").withColumns({"_before": F.lag("low").over(w), "_after": F.lead("low").over(w), "_next": F.lead("bar_no").over(w)}).join(sweeps, DAY).filter(at > F.col("sweep_bar"))
+    local = (F.col("low") < F.col("_before")) & (F.col("low") < F.col("_after")) & (F.col("low") <= F.col("zone"))
+    b = b.withColumn("_low", F.when(F.coalesce(local, F.lit(False)), F.col("low")))
+    held = b.withColumn("_last", F.last("_low", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = F.when(F.col("_low").isNotNull(), (F.col("_last").isNull() | (F.col("_low") <= F.col("_last"))).cast("int"))
+    held = held.withColumn("_run", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    held = held.withColumn("_count", F.when(F.col("_low").isNotNull(), F.count("_low").over(Window.partitionBy(*DAY, "_run").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0))))
+    done = F.min(F.when(F.col("_count") >= n, F.struct(F.col("_next").alias("bar"), F.col("_low").alias("low"), F.col("_count").alias("count"))))
+    broken = F.min(F.when(F.col("low") < F.col("sweep_low"), at))
+    out = held.groupBy(*sweeps.columns).agg(done.alias("d"), broken.alias("b"), F.max_by("_count", F.when(F.col("_count").isNotNull(), at)).alias("c"))
+    is_broken = F.col("b").isNotNull() & (F.col("d").isNull() | (F.col("b") <= F.col("d.bar")))
+    status = F.when(is_broken, "BROKEN").when(F.col("d").isNotNull(), "CONFIRMED").otherwise("INCOMPLETE")
+    confirmed = status == "CONFIRMED"
+    count = F.when(confirmed, F.col("d.count")).when(status == "INCOMPLETE", F.coalesce("c", F.lit(0)))
+    return out.select(*sweeps.columns, status.alias("status"), F.when(is_broken, F.col("b")).when(confirmed, F.col("d.bar")).alias("at_bar"), F.when(confirmed, F.col("d.low")).alias("last_low"), count.alias("lows"))
 
 
 def conditions(checks: list[tuple[str, Column]]) -> Column:

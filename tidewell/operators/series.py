@@ -83,7 +83,7 @@ def last_confirmed(df: DataFrame, wing: int = 2, entity: str = "entity_id", date
 
 
 def smoothed(df: DataFrame, value: str, period: int, out: str, entity: str = "entity_id", date: str = "trade_date", block: int = 256) -> DataFrame:
-    """Smoothed moving average: the mean of the first ``period`` values, then
+    """Smoothed moving average: the mean of the values in the first ``period`` rows, then
     (previous * (period - 1) + value) / period; nulls keep the previous one.
 
     The recurrence is linear, so within a block of rows it is a weighted running sum of r**-k, r =
@@ -91,12 +91,13 @@ def smoothed(df: DataFrame, value: str, period: int, out: str, entity: str = "en
     ends, so that powers never overflow however long the line is."""
     r = (period - 1) / period
     w = line(entity, date)
-    df = df.withColumn("_n", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seed = F.avg(F.when((F.col("_n") <= period) & F.col(value).isNotNull(), F.col(value))).over(Window.partitionBy(entity))
-    df = df.withColumns({"_seed": seed, "_k": F.col("_n") - period})
+    df = df.withColumn("_n", F.row_number().over(w))
+    seed = F.avg(F.when(F.col("_n") <= period, F.col(value))).over(Window.partitionBy(entity))
+    later = F.when(F.col("_n") > period, F.col(value))
+    df = df.withColumns({"_seed": seed, "_k": F.count(later).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     df = df.withColumn("_block", F.when(F.col("_k") > 0, F.floor((F.col("_k") - 1) / block)).otherwise(F.lit(-1)))
     df = df.withColumn("_i", F.col("_k") - F.col("_block") * block)
-    term = F.when((F.col("_k") > 0) & F.col(value).isNotNull(), F.col(value) / period * F.pow(F.lit(r), -F.col("_i")))
+    term = F.when((F.col("_n") > period) & F.col(value).isNotNull(), F.col(value) / period * F.pow(F.lit(r), -F.col("_i")))
     inner = Window.partitionBy(entity, "_block").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_part", F.coalesce(F.sum(term).over(inner), F.lit(0.0)))
     ends = df.filter("_block >= 0").groupBy(entity, "_block").agg(F.max_by(F.struct("_i", "_part"), F.struct("_i", date)).alias("_end"))
@@ -148,13 +149,14 @@ def drawdown(df: DataFrame, value: str, entity: str = "entity_id", date: str = "
 
 
 def roll_spread(df: DataFrame, price: str = "close", least: int = 20, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
-    """Roll's spread estimate from the covariance of neighbouring price changes."""
+    """Roll's spread estimate, as a share of the price, from the covariance of neighbouring log returns;
+    null, not 0, where that is not negative or fewer than ``least`` returns are known. n: returns."""
     w = line(entity, date)
-    df = df.withColumn("_d", F.col(price) - F.lag(price).over(w))
+    df = df.withColumn("_d", F.log(F.try_divide(F.col(price), F.lag(price).over(w)))).filter("_d is not null")
     df = df.withColumn("_p", F.lag("_d").over(w))
     cov = F.covar_samp("_d", "_p")
-    n = F.count(F.when(F.col("_d").isNotNull() & F.col("_p").isNotNull(), F.lit(1)))
-    return df.groupBy(entity).agg(n.alias("n"), F.when(n >= least, F.when(cov < 0, 2 * F.sqrt(F.abs(cov))).otherwise(F.lit(0.0))).alias("spread"))
+    n = F.count("_d")
+    return df.groupBy(entity).agg(n.alias("n"), F.when((n >= least) & (cov < 0), 2 * F.sqrt(F.abs(cov))).alias("spread"))
 
 
 def corwin_schultz(df: DataFrame, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:

@@ -136,12 +136,13 @@ def bar_gaps_filled(bars: DataFrame, most_seconds: int, keys: list[str], ts: str
     return rows.withColumn("tier", tier).withColumn("filled", F.when(F.col("tier") == "FILLED", F.col("_p.v")).otherwise(F.col(value))).drop("_p", "_n")
 
 
-def abnormal_volume(df: DataFrame, short: int, long: int, volume: str = "volume", entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
-    """Mean volume of up rows in the last ``short`` rows over that in the ``long`` rows before them."""
+def abnormal_volume(df: DataFrame, short: int, long: int, least: int = 5, volume: str = "volume", entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
+    """Mean volume of up rows in the ``short`` rows before each row less that in the ``long`` rows before
+    those; null unless both hold ``least`` up rows."""
     w = line(entity, date)
     rows = df.withColumn("_up", F.when(F.col("close") > F.lag("close").over(w), F.col(volume)))
-    recent, before = w.rowsBetween(-(short - 1), 0), w.rowsBetween(-(short + long - 1), -short)
-    return rows.withColumn("abnormal", F.try_divide(F.avg("_up").over(recent), F.when(F.count("_up").over(before) >= long // 4, F.avg("_up").over(before)))).drop("_up")
+    recent, before = w.rowsBetween(-short, -1), w.rowsBetween(-(short + long), -short - 1)
+    return rows.withColumn("abnormal", full(F.avg("_up"), F.col("_up"), recent, least) - full(F.avg("_up"), F.col("_up"), before, least)).drop("_up")
 
 
 def weekly_reversal(weekly: DataFrame, weeks: int, times: float, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:

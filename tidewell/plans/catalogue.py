@@ -77,11 +77,11 @@ def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     return T.duplicates(D.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 1)")
+@query("SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 1)")
 def append_new(spark: SparkSession, sf: str) -> DataFrame:
     o = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     old = o.filter("o_orderkey % 7 = 1")
-    return o.filter("o_orderkey % 2 = 0").join(old.select("o_custkey").distinct(), "o_custkey", "left_anti").select("o_orderkey", "o_custkey").distinct()
+    return o.join(old.select("o_custkey").distinct(), "o_custkey", "left_anti").select("o_orderkey", "o_custkey").distinct()
 
 
 @query("SELECT c.c_custkey, c.c_name, CASE WHEN c.c_custkey % 10 = 3 THEN 'FIXED' ELSE c.c_mktsegment END AS c_mktsegment FROM customer c")
@@ -204,11 +204,11 @@ def session_offset(spark: SparkSession, sf: str) -> DataFrame:
 # ---- joins
 
 
-_OBS = "obs AS (SELECT l_suppkey % 10 AS entity_id, CAST(l_shipdate AS DATE) AS d, max(l_extendedprice) AS v FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2)"
+_OBS = "obs AS (SELECT l_suppkey % 10 AS entity_id, CAST(l_shipdate AS DATE) AS d, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)"
 
 
 def _obs(spark: SparkSession, sf: str) -> DataFrame:
-    return D.table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0").groupBy((F.col("l_suppkey") % 10).alias("entity_id"), F.to_date("l_shipdate").alias("d")).agg(F.max("l_extendedprice").alias("v"))
+    return D.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("entity_id"), F.to_date("l_shipdate").alias("d")).agg(F.max("l_extendedprice").alias("v"))
 
 
 def _asks(spark: SparkSession, sf: str) -> DataFrame:
@@ -447,7 +447,7 @@ def fractal_swings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _smma_sql(value: str, p: int, name: str) -> str:
     return f"""n_{name} AS (SELECT entity_id, trade_date, {value} AS x, row_number() OVER ({_W}) AS k FROM v), s_{name}(entity_id, k, s) AS (SELECT entity_id, CAST({p} AS BIGINT), avg(x) FROM n_{name} WHERE k <= {p} GROUP BY 1 HAVING count(*) = {p}
-UNION ALL SELECT n.entity_id, n.k, (s.s * {p - 1} + n.x) / {p} FROM s_{name} s JOIN n_{name} n ON n.entity_id = s.entity_id AND n.k = s.k + 1)"""
+UNION ALL SELECT n.entity_id, n.k, coalesce((s.s * {p - 1} + n.x) / {p}, s.s) FROM s_{name} s JOIN n_{name} n ON n.entity_id = s.entity_id AND n.k = s.k + 1)"""
 
 
 @query(f"{ctes('weekly')}, v AS (SELECT * FROM weekly), {_smma_sql('close', 14, 'a')} SELECT n.entity_id, n.trade_date, round(s.s, 5) AS smma FROM n_a n LEFT JOIN s_a s USING (entity_id, k)")
@@ -457,11 +457,11 @@ def smma(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""{ctes('weekly')}, t AS (SELECT *, CASE WHEN coalesce(trade_date - lag(trade_date) OVER ({_W}) > {GAP}, false) THEN NULL ELSE greatest(high - low, coalesce(abs(high - lag(close) OVER ({_W})), 0), coalesce(abs(low - lag(close) OVER ({_W})), 0)) END AS tr FROM weekly),
-v AS (SELECT * FROM t WHERE tr IS NOT NULL), {_smma_sql('tr', 14, 'a')} SELECT n.entity_id, n.trade_date, round(s.s, 5) AS atr FROM n_a n LEFT JOIN s_a s USING (entity_id, k)"""
+v AS (SELECT * FROM t), {_smma_sql('tr', 14, 'a')} SELECT n.entity_id, n.trade_date, round(s.s, 5) AS atr FROM n_a n LEFT JOIN s_a s USING (entity_id, k)"""
 )
 def atr(spark: SparkSession, sf: str) -> DataFrame:
     out = S.smoothed(S.true_range(D.weekly(spark, sf), GAP), "true_range", 14, "atr")
-    return out.filter("true_range is not null").select("entity_id", "trade_date", F.round("atr", 5).alias("atr"))
+    return out.select("entity_id", "trade_date", F.round("atr", 5).alias("atr"))
 
 
 @query(
@@ -473,9 +473,9 @@ def alligator(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.alligator(D.weekly(spark, sf)).select("entity_id", "trade_date", "jaw", "teeth", "lips"), 5)
 
 
-@query(f"{ctes('weekly')}, d AS (SELECT *, close - lag(close) OVER ({_W}) AS x FROM weekly), p AS (SELECT *, lag(x) OVER ({_W}) AS y FROM d) SELECT entity_id, count(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 1 END) AS n, round(CASE WHEN count(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN 1 END) >= 20 THEN CASE WHEN covar_samp(x, y) < 0 THEN 2 * sqrt(abs(covar_samp(x, y))) ELSE 0 END END, 5) AS spread FROM p GROUP BY 1")
+@query(f"{ctes('weekly')}, d AS (SELECT *, ln(close / lag(close) OVER ({_W})) AS x FROM weekly), p AS (SELECT *, lag(x) OVER ({_W}) AS y FROM d WHERE x IS NOT NULL) SELECT entity_id, count(x) AS n, round(CASE WHEN count(x) >= 20 AND covar_samp(x, y) < 0 THEN 2 * sqrt(abs(covar_samp(x, y))) END, 7) AS spread FROM p GROUP BY 1")
 def roll_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.roll_spread(D.weekly(spark, sf)), 5)
+    return rounded(S.roll_spread(D.weekly(spark, sf)), 7)
 
 
 @query(
@@ -543,13 +543,13 @@ def quarter_growth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{ctes('filings')}, {_COLLAPSED}, k AS (SELECT isin, known_date, max_by(value, period_end) AS value, max(period_end) AS period_end FROM collapsed GROUP BY 1, 2), a AS (SELECT DISTINCT o_custkey AS isin, CAST(date_trunc('year', o_orderdate) AS DATE) AS at_ FROM orders)
-SELECT a.isin, a.at_ AS at, k.known_date AS matched_ts, k.period_end, k.value FROM a ASOF LEFT JOIN k ON a.isin = k.isin AND a.at_ >= k.known_date"""
+    f"""{ctes('filings')}, {_COLLAPSED}, q AS (SELECT *, row_number() OVER (PARTITION BY isin ORDER BY period_end) AS i FROM collapsed), a AS (SELECT DISTINCT o_custkey AS isin, CAST(date_trunc('year', o_orderdate) AS DATE) AS at_ FROM orders),
+l AS (SELECT a.isin, a.at_, max(struct_pack(k := known_date, i := i, p := period_end)) AS m FROM a JOIN q ON a.isin = q.isin AND q.known_date <= a.at_ GROUP BY 1, 2)
+SELECT l.isin, l.at_ AS at, round(sum(q.value), 2) AS ttm_value, count(q.value) AS quarters, any_value(m.p) AS latest_period_end, any_value(m.k) AS latest_known_date FROM l JOIN q ON q.isin = l.isin AND q.i BETWEEN m.i - 3 AND m.i AND q.known_date <= l.at_ GROUP BY 1, 2"""
 )
 def ttm_asof(spark: SparkSession, sf: str) -> DataFrame:
-    q = T.pit_collapsed(D.filings(spark, sf)).groupBy("isin", "known_date").agg(F.max_by("value", "period_end").alias("value"), F.max("period_end").alias("period_end"))
     asks = D.table(spark, sf, "orders").select(F.col("o_custkey").alias("isin"), F.date_trunc("year", "o_orderdate").cast("date").alias("at")).distinct()
-    return J.asof_backward(asks, q, "isin", "at", "known_date", ["period_end", "value"])
+    return T.ttm_as_of(T.pit_collapsed(D.filings(spark, sf)), asks).withColumn("ttm_value", F.round("ttm_value", 2))
 
 
 @query(
@@ -639,11 +639,11 @@ def trade_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS b, l_extendedprice * 1.01 AS s FROM lineitem), k AS (SELECT *, greatest(5, least(20, b * 0.001)) + greatest(5, least(20, s * 0.001)) AS br, (b + s) * 0.0000297 AS ex, (b + s) * 0.000001 AS se FROM v)
-SELECT l_orderkey, l_linenumber, round(br + (b + s) * 0.001 + ex + se + b * 0.00015 + (br + ex + se) * 0.18 + 15.34, 4) AS cost, CASE WHEN l_linenumber * 60 <= 50 THEN 3.0 WHEN l_linenumber * 60 <= 100 THEN 5.0 WHEN l_linenumber * 60 <= 200 THEN 10.0 ELSE 25.0 END AS spread_bps, CAST(floor(500 / (b * 0.02)) AS BIGINT) AS shares FROM k"""
+SELECT l_orderkey, l_linenumber, round(br + s * 0.002 + ex + se + b * 0.00015 + (br + ex + se) * 0.18 + 23.60, 4) AS cost, CASE WHEN l_linenumber * 40 BETWEEN 1 AND 50 THEN 2.0 WHEN l_linenumber * 40 BETWEEN 51 AND 100 THEN 4.0 ELSE 7.0 END AS spread_bps, CAST(floor(500 / (b * 0.02)) AS BIGINT) AS shares FROM k"""
 )
 def costs_grid(spark: SparkSession, sf: str) -> DataFrame:
     b, s = F.col("l_extendedprice"), F.col("l_extendedprice") * 1.01
-    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(P.delivery_costs(b, s), 4).alias("cost"), P.banded_spread(F.col("l_linenumber") * 60).alias("spread_bps"), P.whole_shares(500.0, b * 0.02).alias("shares"))
+    return D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(P.delivery_costs(b, s), 4).alias("cost"), P.banded_spread(F.col("l_linenumber") * 40).alias("spread_bps"), P.whole_shares(500.0, b * 0.02).alias("shares"))
 
 
 # ---- rules
@@ -672,7 +672,7 @@ def sweep_reclaim(spark: SparkSession, sf: str) -> DataFrame:
     return R.sweep_reclaims(b, levels, 0.01, 0.9)
 
 
-_FVG = "f AS (SELECT entity_id, session, bar_no AS first_bar, lead(bar_no, 2) OVER w AS third_bar, high AS gap_low, lead(low, 2) OVER w AS gap_high FROM intraday WINDOW w AS (PARTITION BY entity_id, session ORDER BY bar_no)), gaps AS (SELECT *, lead(third_bar) OVER (PARTITION BY entity_id, session ORDER BY first_bar) AS live_until FROM f WHERE gap_low < gap_high)"
+_FVG = "f AS (SELECT entity_id, session, bar_no AS first_bar, lead(bar_no, 2) OVER w AS third_bar, high AS gap_low, lead(low, 2) OVER w AS gap_high, lead(high) OVER w <= high AND lead(low) OVER w >= low AS inside FROM intraday WINDOW w AS (PARTITION BY entity_id, session ORDER BY bar_no)), gaps AS (SELECT * EXCLUDE (inside), least(lead(third_bar) OVER (PARTITION BY entity_id, session ORDER BY first_bar), third_bar + 31) AS live_until FROM f WHERE gap_low < gap_high AND NOT inside)"
 
 
 @query(f"{ctes('ticks', 'intraday')}, {_FVG} SELECT * FROM gaps")
@@ -681,7 +681,7 @@ def fair_value_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{ctes('ticks', 'intraday')}, {_FVG}, p AS (SELECT g.*, b.bar_no, b.low, b.close FROM gaps g JOIN intraday b USING (entity_id, session) WHERE b.bar_no > third_bar AND (live_until IS NULL OR b.bar_no < live_until)), q AS (SELECT *, min(CASE WHEN low <= gap_high THEN bar_no END) OVER (PARTITION BY entity_id, session, first_bar) AS touch_bar FROM p)
+    f"""{ctes('ticks', 'intraday')}, {_FVG}, p AS (SELECT g.*, b.bar_no, b.low, b.close FROM gaps g JOIN intraday b USING (entity_id, session) WHERE b.bar_no > third_bar AND b.bar_no < live_until), q AS (SELECT *, min(CASE WHEN low <= gap_high THEN bar_no END) OVER (PARTITION BY entity_id, session, first_bar) AS touch_bar FROM p)
 SELECT entity_id, session, first_bar, third_bar, gap_low, gap_high, live_until, touch_bar, min(bar_no) AS entry_bar FROM q WHERE bar_no >= touch_bar AND close > gap_high GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
 )
 def gap_retests(spark: SparkSession, sf: str) -> DataFrame:
@@ -695,9 +695,9 @@ def _level(b: DataFrame) -> DataFrame:
 
 @query(
     f"""{ctes('ticks', 'intraday')}, l AS (SELECT entity_id, session, (min(low) + max(high)) / 2 AS level FROM intraday GROUP BY 1, 2), t AS (SELECT entity_id, session, level, min(bar_no) AS touch_bar FROM intraday JOIN l USING (entity_id, session) WHERE low <= level AND high >= level GROUP BY 1, 2, 3),
-a AS (SELECT t.*, bar_no, open, close, coalesce(high - low > 0 AND least(open, close) - low >= 2 * abs(close - open) AND high - greatest(open, close) <= abs(close - open), false) AS h FROM t JOIN intraday USING (entity_id, session) WHERE bar_no BETWEEN touch_bar AND touch_bar + 2),
+a AS (SELECT t.*, bar_no, open, close, CASE WHEN close <> open THEN least(open, close) - low >= 2 * abs(close - open) AND high - greatest(open, close) <= abs(close - open) ELSE high - low > 0 AND least(open, close) - low >= 0.2 * (high - low) END AS h FROM t LEFT JOIN intraday i ON i.entity_id = t.entity_id AND i.session = t.session AND bar_no BETWEEN touch_bar + 1 AND touch_bar + 2),
 s AS (SELECT entity_id, session, level, touch_bar, min(CASE WHEN close > open OR h THEN bar_no END) AS g, min(CASE WHEN close < open AND close < level AND NOT h THEN bar_no END) AS f FROM a GROUP BY 1, 2, 3, 4)
-SELECT entity_id, session, level, touch_bar, CASE WHEN f IS NOT NULL AND (g IS NULL OR f < g) THEN 'FAILED' WHEN g IS NULL THEN 'UNCONFIRMED' ELSE 'CONFIRMED' END AS status, g FROM s"""
+SELECT entity_id, session, level, touch_bar, CASE WHEN f IS NOT NULL AND (g IS NULL OR f < g) THEN 'FAILED' WHEN g IS NULL THEN 'UNCONFIRMED' ELSE 'CONFIRMED' END AS status, CASE WHEN f IS NULL OR g < f THEN g END AS g FROM s"""
 )
 def poc_touches(spark: SparkSession, sf: str) -> DataFrame:
     b = D.intraday(spark, sf)
@@ -741,9 +741,21 @@ def darvas_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return R.darvas(D.weekly(spark, sf))
 
 
-@query()
+@query(
+    f"""{ctes('ticks', 'intraday')}, z AS (SELECT entity_id, session, quantile_cont(low, 0.5) AS zone FROM intraday WHERE bar_no < 8 GROUP BY 1, 2), h AS (SELECT entity_id, session, zone, min(bar_no) AS sweep_bar, arg_min(low, bar_no) AS sweep_low FROM intraday JOIN z USING (entity_id, session) WHERE bar_no >= 8 AND low < zone GROUP BY 1, 2, 3),
+b AS (SELECT i.entity_id, i.session, bar_no, low, lag(low) OVER w AS p, lead(low) OVER w AS x, lead(bar_no) OVER w AS nx FROM intraday i WINDOW w AS (PARTITION BY entity_id, session ORDER BY bar_no)),
+c AS (SELECT b.*, zone, sweep_bar, sweep_low, low < p AND low < x AND low <= zone AS local FROM b JOIN h USING (entity_id, session) WHERE bar_no > sweep_bar),
+l AS (SELECT *, CASE WHEN low > lag(low) OVER (PARTITION BY entity_id, session ORDER BY bar_no) THEN 0 ELSE 1 END AS fresh FROM c WHERE local),
+k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, session, run ORDER BY bar_no) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY entity_id, session ORDER BY bar_no) AS run FROM l)),
+d AS (SELECT entity_id, session, arg_max(n, bar_no) AS c, min(CASE WHEN n >= 2 THEN nx END) AS d_bar, arg_min(low, CASE WHEN n >= 2 THEN bar_no END) AS d_low, arg_min(n, CASE WHEN n >= 2 THEN bar_no END) AS d_n FROM k GROUP BY 1, 2),
+r AS (SELECT entity_id, session, min(CASE WHEN low < sweep_low THEN bar_no END) AS b_bar FROM c GROUP BY 1, 2),
+o AS (SELECT h.*, d.*, r.b_bar, CASE WHEN b_bar IS NOT NULL AND (d_bar IS NULL OR b_bar <= d_bar) THEN 'BROKEN' WHEN d_bar IS NOT NULL THEN 'CONFIRMED' ELSE 'INCOMPLETE' END AS status FROM r JOIN h ON r.entity_id = h.entity_id AND r.session = h.session LEFT JOIN d ON r.entity_id = d.entity_id AND r.session = d.session)
+SELECT h.entity_id, h.session, h.zone, h.sweep_bar, h.sweep_low, status, CASE status WHEN 'BROKEN' THEN b_bar WHEN 'CONFIRMED' THEN d_bar END AS at_bar, CASE WHEN status = 'CONFIRMED' THEN d_low END AS last_low, CASE status WHEN 'CONFIRMED' THEN d_n WHEN 'INCOMPLETE' THEN coalesce(c, 0) END AS lows FROM o h"""
+)
 def ascending_lows(spark: SparkSession, sf: str) -> DataFrame:
-    return R.ascending_lows(D.intraday(spark, sf), 2)
+    b = D.intraday(spark, sf)
+    zones = b.filter("bar_no < 8").groupBy("entity_id", "session").agg(F.percentile("low", F.lit(0.5)).alias("zone"))
+    return R.ascending_lows(b, R.zone_sweeps(b, zones, 8), 2)
 
 
 # ---- inference

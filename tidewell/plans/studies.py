@@ -137,10 +137,10 @@ def endpoint_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""{ctes('weekly')}, u AS (SELECT *, CASE WHEN close > lag(close) OVER ({_W}) THEN volume END AS up FROM weekly)
-SELECT entity_id, trade_date, round(avg(up) OVER a / nullif(CASE WHEN count(up) OVER b >= 6 THEN avg(up) OVER b END, 0), 7) AS abnormal FROM u WINDOW a AS ({_W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), b AS ({_W} ROWS BETWEEN 31 PRECEDING AND 8 PRECEDING)"""
+SELECT entity_id, trade_date, round(CASE WHEN count(up) OVER a >= 5 THEN avg(up) OVER a END - CASE WHEN count(up) OVER b >= 5 THEN avg(up) OVER b END, 5) AS abnormal FROM u WINDOW a AS ({_W} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING), b AS ({_W} ROWS BETWEEN 81 PRECEDING AND 22 PRECEDING)"""
 )
 def abnormal_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(U.abnormal_volume(D.weekly(spark, sf), 8, 24).select("entity_id", "trade_date", "abnormal"), 7)
+    return rounded(U.abnormal_volume(D.weekly(spark, sf), 21, 60).select("entity_id", "trade_date", "abnormal"), 5)
 
 
 @query(
@@ -172,14 +172,14 @@ def survivorship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{ctes('weekly')}, m AS (SELECT *, close / lag(close, 8) OVER ({_W}) - 1 AS mom, close / lag(close) OVER ({_W}) - 1 AS r1, volume / nullif(CASE WHEN count(volume) OVER v >= 4 THEN avg(volume) OVER v END, 0) AS vr FROM weekly WINDOW v AS ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
-e AS (SELECT *, quantile_cont(mom, 0.9) OVER p AS a, quantile_cont(turnover, 0.5) OVER p AS b, quantile_cont(r1, 1/3.0) OVER p AS c FROM m WINDOW p AS (PARTITION BY trade_date)) SELECT entity_id, trade_date FROM e WHERE mom >= a AND turnover >= b AND r1 <= c AND vr > 1.5"""
+    f"""{ctes('weekly')}, m AS (SELECT *, close / lag(close, 8) OVER ({_W}) - 1 AS mom, close / lag(close) OVER ({_W}) - 1 AS r1, volume / nullif(CASE WHEN count(volume) OVER v >= 4 THEN avg(volume) OVER v END, 0) AS vr, CASE WHEN count(turnover) OVER l >= 20 THEN quantile_cont(turnover, 0.5) OVER l END AS liq FROM weekly WINDOW v AS ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), l AS ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+e AS (SELECT *, quantile_cont(mom, 0.9) OVER p AS a, quantile_cont(liq, 1/3.0) OVER p AS b, quantile_cont(r1, 1/3.0) OVER p AS c FROM m WINDOW p AS (PARTITION BY trade_date)) SELECT entity_id, trade_date FROM e WHERE mom >= a AND liq > b AND r1 <= c AND vr > 1.5"""
 )
 def swing_signals(spark: SparkSession, sf: str) -> DataFrame:
     w = S.line()
     v = w.rowsBetween(-4, -1)
-    m = D.weekly(spark, sf).withColumns({"mom": F.try_divide(F.col("close"), F.lag("close", 8).over(w)) - 1, "r1": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, "vr": F.try_divide(F.col("volume"), S.full(F.avg("volume"), F.col("volume"), v, 4)), "ok": F.lit(True)})
-    return P.swing_signals(m, "mom", "turnover", "r1", "vr", "ok").filter("signal").select("entity_id", "trade_date")
+    m = D.weekly(spark, sf).withColumns({"mom": F.try_divide(F.col("close"), F.lag("close", 8).over(w)) - 1, "r1": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, "vr": F.try_divide(F.col("volume"), S.full(F.avg("volume"), F.col("volume"), v, 4)), "ok": F.lit(True), "liq": S.full(F.percentile("turnover", F.lit(0.5)), F.col("turnover"), w.rowsBetween(-19, 0), 20)})
+    return P.swing_signals(m, "mom", "liq", "r1", "vr", "ok").filter("signal").select("entity_id", "trade_date")
 
 
 @query("WITH i AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, o_totalprice FROM i WHERE i IN (SELECT CAST(round_even(k * (n - 1) / 6.0, 0) AS BIGINT) FROM (SELECT DISTINCT n FROM i), generate_series(0, 6) g(k))")
@@ -236,10 +236,10 @@ def refusal_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return TX.first_events(e, ["user_id", "event_type", "day"], ["event_id"])
 
 
-@query("WITH n AS (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1) SELECT user_id, n, CASE WHEN n >= 60 THEN round(m, 6) END AS mean FROM n")
+@query("WITH n AS (SELECT user_id, count(*) AS n, avg(value) AS m FROM events GROUP BY 1) SELECT user_id, n, CASE WHEN n >= 100 THEN round(m, 6) END AS mean FROM n")
 def gated_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     n = D.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
-    return n.select("user_id", "n", F.when(F.col("n") >= 60, F.round("m", 6)).alias("mean"))
+    return n.select("user_id", "n", F.when(F.col("n") >= 100, F.round("m", 6)).alias("mean"))
 
 
 @query(f"{ctes('weekly')}, e AS (SELECT entity_id, last(close ORDER BY trade_date) AS last_close FROM weekly GROUP BY 1), v AS (SELECT entity_id, last_close * CASE WHEN entity_id % 4 = 0 THEN 0.5 ELSE 1.01 END AS vendor FROM e) SELECT entity_id, CASE WHEN abs(last_close / vendor - 1) > 0.02 THEN round(last_close / vendor, 9) ELSE 1.0 END AS rescale FROM e JOIN v USING (entity_id)")

@@ -2,9 +2,9 @@
 
 A scan of the tags cuts a page into blocks. The first pass classes each block by length, link
 density and stop-word density; the second lets short or undecided blocks inherit from their nearest
-decided neighbours. Regions whose markup names them as furniture (menus, headers, footers, forms,
-adverts, comments and the like) are boilerplate before either pass, and what the page itself marks
-as its article decides blocks that words alone cannot.
+decided neighbours. Where markup names a region as furniture (menus, headers, footers, forms, adverts,
+comments and the like) or as the article, that is one more feature of its blocks: it moves the limits
+of the first pass and says which neighbours speak for a block in the second.
 """
 
 from __future__ import annotations
@@ -35,13 +35,16 @@ _NO_END = frozenset("area base br col embed hr img input link meta param source
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
 #: Words in class or id attributes that name furniture.
 _NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|advertorial|adbox|adslot|banner|billboard|breadcrumbs?|byline-links|comments?|commentlist|disqus|respond|replies|reader-comments|cookies?|consent|gdpr|notice|notices|notification|alert|disclaimer|footer|footnav|masthead|site-header|page-header|topbar|navbar|nav|navigation|menu|submenu|sidebar|side-bar|widget|widgets|related|recommended|recommendations|promo|promoted|promotion|sponsor|sponsored|sponsors|social|share|sharing|share-buttons|newsletter|subscribe|subscription|signup|sign-up|login|log-in|search|searchbox|popup|modal|overlay|pagination|pager|toolbar|tags|tag-list|copyright|legal|teaser|outbrain|taboola|skip-link|feedback)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(ads?|adverts?|advertisement|advertising|advertorial|adbox|adslot|banner|billboard|breadcrumbs?|byline-links|comments?|commentlist|disqus|respond|replies|reader-comments|cookies?|consent|gdpr|notice|notices|notification|alert|disclaimer|footer|footnav|masthead|site-header|page-header|topbar|navbar|nav|navigation|menu|submenu|sidebar|side-bar|widget|widgets|related|recommended|recommendations|promo|promoted|promotion|sponsor|sponsored|sponsors|social|share|sharing|share-buttons|newsletter|subscribe|subscription|signup|sign-up|login|log-in|search|searchbox|popup|modal|overlay|pagination|pager|toolbar|tags|tag-list|copyright|legal|teaser|outbrain|taboola|skip-link|feedback)(?:$|[^a-z])"
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WHITE = re.compile(r"\s+")
 _WORDS = re.compile(r"\w+")
 
+#: Of those the ones that parts of an article bear too: they speak less strongly.
+_LOOSE = frozenset("social legal copyright feedback search tags share sharing widget related teaser disclaimer feature alert overlay".split())
+
 #: Limits of the rules: characters of a short and of a long block, link density, stop-word densities.
 LENGTH_LOW, LENGTH_HIGH, LINKS_HIGH, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.06, 0.12
 
@@ -51,32 +54,36 @@ class Block:
     text: str
     links: int  #: characters within links
     furniture: bool  #: in a region that its markup names as furniture
+    named: bool  #: so by its element, its role or a name that article text never bears
     inside: bool  #: in an article or main element
     heading: bool
     label: str = ""
 
 
-def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
+def _furniture(tag: str, attrs: str, inside: bool) -> int:
+    """How strongly an element is named as furniture: 2, 1 (by a loose name alone) or 0."""
     if tag in _FURNITURE:
-        return not (tag == "header" and inside)
+        return 0 if tag == "header" and inside else 2
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    most = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name = name.lower()
         value = a or b or c
         if name in ("class", "id"):
-            if _NAMES.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().replace("_", "-")):
-                return True
+            names = _NAMES.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().replace("_", "-"))
+            if names:
+                most = max(most, 1 if set(names) <= _LOOSE else 2)
         elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return most
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, white space within each turned into one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture from here, article from here
-    bad = good = links = heading = 0
+    stack: list[tuple[str, int, bool]] = []  # tag, furniture from here, article from here
+    bad = named = good = links = heading = 0
     parts: list[str] = []
     linked = 0
 
@@ -85,13 +92,14 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = _WHITE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, min(linked, len(text)), bad > 0, good > 0, heading > 0))
+                out.append(Block(text, min(linked, len(text)), bad > 0, named > 0, good > 0, heading > 0))
             parts, linked = [], 0
 
     def pop() -> None:
-        nonlocal bad, good, links, heading
+        nonlocal bad, named, good, links, heading
         tag, f, g = stack.pop()
-        bad -= f
+        bad -= f > 0
+        named -= f > 1
         good -= g
         links -= tag == "a"
         heading -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -137,9 +145,10 @@ def blocks_of(page: str) -> list[Block]:
             end = low.find(f"</{tag}", at)
             at = n if end < 0 else page.find(">", end) + 1 or n
             continue
-        f, g = _is_furniture(tag, m[3], good > 0), tag in ("article", "main")
+        f, g = _furniture(tag, m[3], good > 0), tag in ("article", "main")
         stack.append((tag, f, g))
-        bad += f
+        bad += f > 0
+        named += f > 1
         good += g
         links += tag == "a"
         heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -147,51 +156,82 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def first_pass(block: Block, trusted: bool) -> str:
+    """The class of a block by itself: bad, good, near or short.
+
+    Length, link density and stop-word density decide. Where the block stands moves the limits: within
+    an article that holds the page's text (``trusted``) half the stop words are enough and beside it
+    twice the length is asked for; in a region that is named as furniture only a long run of text with
+    few links stays open, for its neighbours to decide."""
+    n = len(block.text)
+    words = _WORDS.findall(block.text.lower())
+    links, stops = block.links / n, sum(map(_STOPS.__contains__, words)) / max(1, len(words))
+    inside = trusted and block.inside
+    if block.furniture:
+        return "near" if block.inside and n > 2 * LENGTH_HIGH and stops >= STOPS_HIGH and links <= LINKS_HIGH / 2 and not block.named else "bad"
+    if links > LINKS_HIGH or "\xa9" in block.text and n < LENGTH_HIGH:
+        # a sentence that is a link stays open within the article
+        return "near" if inside and "\xa9" not in block.text and stops >= STOPS_LOW and n >= LENGTH_LOW else "bad"
+    if n < LENGTH_LOW:
+        return "short"
+    if trusted and not block.inside:
+        return "near" if stops >= STOPS_HIGH and n > 2 * LENGTH_HIGH else "bad"
+    if stops >= (STOPS_HIGH / 2 if inside else STOPS_HIGH):
+        return "good" if inside or n > LENGTH_HIGH else "near"
+    return "near" if inside or stops >= STOPS_LOW else "bad"
+
+
+def second_pass(blocks: list[Block], first: list[str], trusted: bool) -> list[str]:
+    """Short and undecided blocks take the class of their nearest decided neighbours in the same part of
+    the page (the article, what surrounds it): a near block is good beside a good one, a short one takes
+    the nearer neighbour's class, a heading that of what follows. The page's ends count as bad; an
+    article's ends say nothing."""
+    out = list(first)
+    parts = [[i for i, b in enumerate(blocks) if b.inside == side and not (side and b.furniture and first[i] == "bad")] for side in (True, False)] if trusted else [list(range(len(blocks)))]
+    for rows in parts:
+        edge = None if trusted and rows and blocks[rows[0]].inside else "bad"
+        before, last = {}, (edge, -1)
+        for at, i in enumerate(rows):
+            before[i] = last
+            last = (first[i], at) if first[i] in ("good", "bad") else last
+        after, last = {}, (edge, len(rows))
+        for at in range(len(rows) - 1, -1, -1):
+            after[rows[at]] = last
+            last = (first[rows[at]], at) if first[rows[at]] in ("good", "bad") else last
+        for at, i in enumerate(rows):
+            if first[i] in ("good", "bad"):
+                continue
+            (left, a), (right, b) = before[i], after[i]
+            sides = {left, right} - {None}
+            if not sides:
+                out[i] = "good"  # an article of short blocks alone
+            elif first[i] == "near":
+                out[i] = "good" if "good" in sides else "bad"
+            elif blocks[i].heading:
+                out[i] = "good" if (right or left) == "good" else "bad"
+            elif len(sides) == 1:
+                out[i] = sides.pop()
+            else:
+                # between text and furniture: the nearer one, a tie goes to whole sentences
+                near = left if at - a < b - at else right if b - at < at - a else "good" if blocks[i].text.endswith((".", "!", "?")) else "bad"
+                out[i] = near
+    return out
+
+
 def classify(blocks: list[Block]) -> list[Block]:
-    """Labels each block good or bad, by the two passes described above."""
-    marked = any(b.inside and not b.furniture for b in blocks)
-    for b in blocks:
-        n = len(b.text)
-        if b.furniture or marked and not b.inside:
-            b.label = "bad"
-            continue
-        words = _WORDS.findall(b.text.lower())
-        links, stops = b.links / n, sum(map(_STOPS.__contains__, words)) / max(1, len(words))
-        if links > LINKS_HIGH:
-            b.label = "bad" if not b.inside or links > 0.8 and n < LENGTH_HIGH else "near"
-        elif n < LENGTH_LOW:
-            b.label = "short"
-        elif stops >= STOPS_HIGH:
-            b.label = "good" if n > LENGTH_HIGH or b.inside else "near"
-        elif stops >= STOPS_LOW:
-            b.label = "near"
-        else:
-            b.label = "near" if b.inside else "bad"
-    n = len(blocks)
-    first = [b.label for b in blocks]
-    # nearest decided neighbours on either side; the page's edges count as bad, within a marked article as nothing
-    before, last = [], None
-    for x in first:
-        before.append(last)
-        last = x if x in ("good", "bad") else last
-    after, last = [None] * n, None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = first[i] if first[i] in ("good", "bad") else last
-    for i, b in enumerate(blocks):
-        if first[i] in ("good", "bad"):
-            continue
-        if marked:
-            # the page says where its article is; furniture beside it does not speak for its blocks
-            b.label = "good"
-        elif first[i] == "near":
-            b.label = "bad" if before[i] != "good" and after[i] != "good" else "good"
-        else:
-            b.label = "good" if before[i] == "good" and after[i] == "good" or b.heading and after[i] == "good" else "bad"
-    if not any(b.label == "good" for b in blocks):
-        for i, b in enumerate(blocks):  # nothing decided good: undecided blocks of some length are the text
-            if first[i] == "near":
-                b.label = "good"
+    """Labels each block good or bad, by the two passes described above. What the page marks as its
+    article is trusted if it holds at least half of the text that the first pass finds good without it."""
+    plain = [first_pass(b, False) for b in blocks]
+    weight = lambda inside: sum(len(b.text) for b, x in zip(blocks, plain, strict=True) if b.inside == inside and x == "good")
+    trusted = any(b.inside and not b.furniture for b in blocks) and weight(True) >= weight(False)
+    first = [first_pass(b, True) for b in blocks] if trusted else plain
+    labels = second_pass(blocks, first, trusted)
+    if "good" not in labels:
+        # nothing decided good: undecided blocks of some length are the text, else what follows the first heading
+        start = next((i for i, b in enumerate(blocks) if b.heading), len(blocks))
+        labels = ["good" if x == "near" or i >= start and x == "short" else y for i, (x, y) in enumerate(zip(first, labels, strict=True))]
+    for b, label in zip(blocks, labels, strict=True):
+        b.label = "good" if label == "good" else "bad"
     return blocks
 
 
@@ -207,16 +247,21 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     page is held at a time; unclosed tags and broken markup never raise.
     """
     keep = [c for c in pages.columns if c not in (html, "text")]
-    schema = pages.select(*keep).schema.add("text", "string")
+    names = [f"c{i}" for i in range(len(keep))]  # columns travel under numbers: no name can clash
+    sent = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)), F.col(html).alias("page"))
+    schema = sent.drop("page").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(x.as_py()) for x in b.column("_html")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                texts = [main_text(x.as_py()) for x in b.column("page")]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
-    return pages.select(*keep, F.col(html).alias("_html")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "text")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars."""
+    """page_id, url, text, n_chars. Null and empty pages have an empty text of 0 characters; repeated rows
+    each give a row, null ids and urls are kept, an empty table gives none, other columns are not read."""
     return extract_pages(pages.select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("bigint"))

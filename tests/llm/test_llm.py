@@ -116,6 +116,63 @@ def test_toxicity_odd_rows(spark):
 # ---- licences
 
 
+NOTICES = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+#: Whole short licences, put together from their printed sentences.
+WHOLE = {
+    "MIT": "MitGrant MitNoticeKept AsIs MitLiability",
+    "BSD-2-Clause": "BsdGrant BsdSource BsdBinary BsdAsIs BsdLiability",
+    "BSD-3-Clause": "BsdGrant BsdSource BsdBinary BsdNames BsdAsIs BsdLiability",
+    "ISC": "IscGrant IscAsIs IscLiability",
+    "Zlib": "ZlibAsIs ZlibLiability ZlibGrant ZlibOrigin ZlibAltered ZlibNotice",
+    "BSL-1.0": "BslTitle BslGrant",
+    "AGPL-3.0-or-later": "Agpl3Grant GplNoWarranty AgplSee AgplCopy",
+    "EPL-2.0": "Epl2Title EplTerms",
+    "CC0-1.0": "Cc0Waiver",
+    "CC-BY-NC-SA-4.0": "CcByNcSaNotice",
+}
+
+
+def test_published_licences_wrapped_and_not(spark):
+    import textwrap
+
+    printed = {i: t for t, i in licenses.SENTENCES.items()} | {i: " ".join(t.split()) for t, i in licenses.CANONICAL.items()}
+    # sentences that the table holds without the stop they are printed with
+    full = lambda i: printed[i] + ("" if printed[i].endswith((".", ":", "/", "3")) else ".")
+    texts = NOTICES | {name: "\n\n".join(map(full, ids.split())) for name, ids in WHOLE.items()}
+    rows = []
+    for name, t in texts.items():
+        for form in (t, *("\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n")) for width in (72, 40)), "\n".join(f" * {x}" for p in t.split("\n\n") for x in [*textwrap.wrap(p, 70), ""])):
+            rows.append((name, f"Copyright (c) 2020 Somebody\n\n{form}\n\nint main() {{}}\n"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in licenses.document_licenses(df).collect()}
+    for i, (name, t) in enumerate(rows):
+        assert got[i] == (name, ""), (name, t)
+
+
+def test_every_known_sentence_bears_a_hint():
+    for s in licenses.KNOWN:
+        assert re.search(licenses.HINT, s), s
+    names = set(licenses.KNOWN.values())
+    assert all(set(ids) <= names for _, ids in licenses.RULES)
+
+
 def test_licenses_by_hand(spark, empty):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
     rows = [(1, mit), (2, "Hello.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0. Bye"), (3, None), (4, ""), (5, "The software is provided as is, without warranty of any kind."), (6, "Permission to speak. licence?")]
@@ -285,10 +342,51 @@ def test_html_without_article_uses_words():
     assert html_extract.main_text(page) == f"Title\n\n{text}\n\nShort.\n\n{text}"
 
 
+def stripped(page):
+    """The page without the names that tell its article and its furniture."""
+    page = re.sub(r"<(/?)(article|main|nav|aside|header|footer|form)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", page)
+
+
+PAGES = __import__("pathlib").Path("/root/testdata/sf0.01/pages.parquet")
+
+
+@pytest.mark.skipif(not PAGES.exists(), reason="test tables are absent")
+def test_html_passes_find_the_text_without_markup_names():
+    import pyarrow.parquet as pq
+
+    hit = found = wanted = 0
+    for page in pq.read_table(PAGES, columns=["html"]).column("html").to_pylist():
+        a, b = (collections.Counter(html_extract.main_text(x).split()) for x in (page or "", stripped(page or "")))
+        hit, found, wanted = hit + sum((a & b).values()), found + sum(b.values()), wanted + sum(a.values())
+    assert hit / found > 0.95 and hit / wanted > 0.95
+
+
+def test_html_both_passes_decide(monkeypatch):
+    """In an article too: the first pass drops a list of links, the second keeps short paragraphs."""
+    text = " ".join("this is the text of the story and it was told by all that have read it".split() * 6)
+    links = "".join(f"<a href=/{i}>word{i} other{i} more{i}</a> " for i in range(9))
+    page = f"<article><h1>Head</h1><p>{text}</p><p>Short.</p><div>{links}</div></article><div>{text}</div>"
+    assert html_extract.main_text(page) == f"Head\n\n{text}\n\nShort."
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "first_pass", lambda b, trusted: "short")
+        assert "word1" in html_extract.main_text(page)
+    monkeypatch.setattr(html_extract, "second_pass", lambda blocks, first, trusted: first)
+    assert html_extract.main_text(page) == text
+
+
+def test_html_article_around_a_teaser_is_not_trusted():
+    text = " ".join("this is the text of the story and it was told by all that have read it".split() * 6)
+    page = f"<article><p>Read this too.</p></article><div><h1>Head</h1><p>{text}</p><p class=social>{text}</p></div>"
+    assert html_extract.main_text(page).startswith(f"Head\n\n{text}")
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>a b</p></article>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_extract.page_texts(df).orderBy("page_id").collect()] == [(1, "a b", 3), (2, "", 0)]
     assert html_extract.page_texts(df.limit(0)).count() == 0
+    odd = df.select("page_id", "html", F.lit(1).alias("_html"), F.lit("a").alias("page"), F.lit(None).cast("string").alias("c0"))
+    assert [tuple(r) for r in html_extract.extract_pages(odd).orderBy("page_id").collect()] == [(1, 1, "a", None, "a b"), (2, 1, "a", None, "")]
 
 
 # ---- mixing

@@ -466,6 +466,19 @@ def test_mixed_rows_hold_the_words_taken(docs):
 # ---- WARC
 
 
+def test_warc_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, "u", "".join(chr(r.randint(33, 126)) for _ in range(40_000))) for i in range(12)] + [(20, "u", "same" * 100), (21, "u", "same" * 100), (None, "u", "same" * 100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(warc.mark_revisits(df), str(tmp_path / "cut"), archive_bytes=100_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "cut").rglob("part-*")]
+    assert len(sizes) > 2 and max(sizes) < 180_000
+    assert warc.read_archives(spark, path, "part-*").filter("kind = 'record'").count() == len(rows)
+    few = sorted(map(str, warc.archive_round_trip(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, warc.archive_round_trip(df).collect())) == few
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "ü" * 200
     rows = [(5, "http://a/\r\nX: y", big), (3, None, big), (9, "u", big), (1, "u", "tiny"), (2, "u", "tiny"), (4, "u", None), (7, "u", ""), (8, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n" + "\x1f\x8b" * 50)]

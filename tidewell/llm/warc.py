@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir, trim
 
 #: The empty gzip member (fixed bytes of the format). Text output ends each row with it, so that a
 #: file is a clean run of members and needs no separator that is not gzip.
@@ -28,6 +28,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Payloads shorter than this are never stored as revisits.
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 16 << 20
+#: Digests of repeated payloads (64 characters and an id each) up to which they are broadcast.
+BROADCAST_ROWS = 300_000
 
 RECORD_FIELDS = ["offset", "length", "version", "type", "record_id", "headers", "payload", "digest_ok"]
 
@@ -201,39 +203,49 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
     The first holder of a payload (smallest page_id) is found by an aggregate that combines before
-    the shuffle, then joined back by page: a payload with very many copies is no hot key. Repeated
-    rows of one page_id each keep a row.
+    the shuffle. Up to BROADCAST_ROWS repeated payloads their digests are broadcast, so no payload is
+    shuffled and one with very many copies is no hot key; beyond that digests are joined, and then
+    pages by their id. Repeated rows of one page_id each keep a row; a null page_id refers to none.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     full = pages.select("page_id", "url", html.alias("payload"))
     facts = pages.select("page_id", F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).cast("bigint").alias("payload_bytes"))
-    first = facts.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = facts.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("copy_id"), F.col("payload_digest").alias("copy_digest"), "first_id").distinct()
+    first = facts.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    first = materialize(first, "warc-first")
     digested = full.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("bigint")})
-    refers = F.col("first_id")
-    return digested.join(copies, F.col("page_id").eqNullSafe(F.col("copy_id")) & (F.col("payload_digest") == F.col("copy_digest")), "left").select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to")
-    )
+    if first.count() <= BROADCAST_ROWS:
+        held = digested.join(F.broadcast(first), "payload_digest", "left")
+        refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    else:
+        copies = facts.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(F.col("page_id").alias("copy_id"), F.col("payload_digest").alias("copy_digest"), "first_id").distinct()
+        held = digested.join(copies, F.col("page_id").eqNullSafe(F.col("copy_id")) & (F.col("payload_digest") == F.col("copy_digest")), "left")
+        refers = F.col("first_id")
+    return held.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
 
 
 def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Write the records of :func:`mark_revisits` as gzip-per-record archives below ``path``.
 
     Spark's text output carries the bytes, so any file system that Spark can write will do and a
-    retried task leaves no partial file. ``maxRecordsPerFile`` keeps a file near ``archive_bytes``.
+    retried task leaves no partial file. A task counts the bytes it writes and begins another archive,
+    in a folder of its own number, with the record after ``archive_bytes``, however long records are.
     """
-    schema = "value binary"
+    schema = "value binary, volume int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [
-                gzip_member(record_bytes("null" if r["page_id"] is None else str(r["page_id"]), r["url"], r["payload"], r["record_type"], r["payload_digest"], r["refers_to"], r["payload_bytes"]))
-                for r in b.to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    raw = records.mapInArrow(run, schema).select(F.col("value").cast("string").alias("value"))
-    raw.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", max(100, archive_bytes // 8192)).text(path)
+        written = 0
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 64):
+                out, volumes = [], []
+                for r in whole.slice(begin, 64).to_pylist():
+                    out.append(gzip_member(record_bytes("null" if r["page_id"] is None else str(r["page_id"]), r["url"], r["payload"], r["record_type"], r["payload_digest"], r["refers_to"], r["payload_bytes"])))
+                    volumes.append(written // archive_bytes)
+                    written += len(out[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(volumes, pa.int32())], ["value", "volume"])
+        trim()
+
+    raw = records.mapInArrow(run, schema).select(F.col("value").cast("string").alias("value"), "volume")
+    raw.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).partitionBy("volume").text(path)
     return path
 
 
@@ -260,7 +272,7 @@ def read_archives(spark, path: str, glob: str = "*") -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).filter("length > 0").select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "content")
     return files.mapInArrow(run, schema)
 
 

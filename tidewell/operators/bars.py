@@ -34,9 +34,11 @@ def session_bars(ticks: DataFrame, minutes: int, first_minute: int, last_minute:
     m = minute_of_day(F.col("ts"))
     inside = ticks.filter((m >= first_minute) & (m <= last_minute))
     bucket = F.floor((m - first_minute) / minutes).cast("int")
-    bars = ohlcv(inside.withColumns({"session": F.to_date("ts"), "bucket": bucket, "minute": m}), [entity, "session", "bucket"], ["ts"])
-    ends = inside.groupBy(F.col(entity), F.to_date("ts").alias("session"), bucket.alias("bucket")).agg(F.max(m).alias("last_minute"))
-    return bars.join(ends, [entity, "session", "bucket"]).withColumn("start_minute", F.col("bucket") * minutes + first_minute).withColumn("end_minute", F.least(F.col("start_minute") + minutes, F.col("last_minute") + 1))
+    by = F.struct("ts", "price")
+    bars = inside.groupBy(F.col(entity), F.to_date("ts").alias("session"), bucket.alias("bucket")).agg(
+        F.min_by("price", by).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", by).alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n_ticks"), F.max(m).alias("last_minute")
+    )
+    return bars.withColumn("start_minute", F.col("bucket") * minutes + first_minute).withColumn("end_minute", F.least(F.col("start_minute") + minutes, F.col("last_minute") + 1))
 
 
 def weekly_bars(daily: DataFrame, entity: str = "entity_id") -> DataFrame:

@@ -101,13 +101,13 @@ def log_audit(log: DataFrame, key: str, ident: str, kind: str, ts: str, first: s
 def level_touches(trades: DataFrame, panel: DataFrame, levels: list[float], rows: int, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
     """For each trade and level (a share of the entry price) the number of rows until a high reaches
     it, within ``rows``; null where it does not."""
-    w = line(entity, date)
-    numbered = panel.withColumn("_i", F.row_number().over(w))
-    entries = trades.join(numbered.select(entity, date, F.col("_i").alias("_e")), [entity, date])
-    path = entries.join(numbered.select(entity, "_i", "high"), entity).filter((F.col("_i") > F.col("_e")) & (F.col("_i") <= F.col("_e") + rows))
+    # the highs of the next rows travel with each day, so a trade meets its own day's row and no other
+    ahead = F.collect_list(F.coalesce("high", F.lit(float("-inf")))).over(line(entity, date).rowsBetween(1, rows))
+    path = trades.join(panel.select(entity, date, ahead.alias("_ahead")), [entity, date]).filter(F.size("_ahead") > 0)
     marks = path.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    keys = [c for c in trades.columns]
-    return marks.groupBy(*keys, "level").agg(F.min(F.when(F.col("high") >= F.col("entry") * (1 + F.col("level")), F.col("_i") - F.col("_e"))).alias("rows_to_touch"))
+    mark = F.col("entry") * (1 + F.col("level"))
+    place = F.filter(F.sequence(F.lit(1), F.size("_ahead")), lambda i: F.get(F.col("_ahead"), i - 1) >= mark)
+    return marks.select(*trades.columns, "level", F.get(place, 0).alias("rows_to_touch")).distinct()
 
 
 def purged_folds(dates: DataFrame, folds: int, purge: int, embargo: int, date: str = "trade_date") -> DataFrame:

@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, words_of
+from .common import discard, free_shuffles, materialize, words_of
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FRAGMENTS = 4
-#: Document ids (8 bytes each) up to this number are broadcast to select texts; beyond it they are joined.
-BROADCAST_IDS = 1_000_000
+#: Classes (four numbers each) up to this number are broadcast to select texts; beyond it they are joined.
+BROADCAST_IDS = 500_000
 
 
 def ngram_set(text: Column, words: int) -> Column:
@@ -75,12 +75,14 @@ class JaccardJoin:
         kept = self.classes.join(lonely, "k1", "left").filter(F.coalesce("u", F.lit(0)) <= self._spare(F.col("n"))).select("cid", "k1", "k2", F.col("doc_id").alias("_id"))
         kept = materialize(kept, "ngram-kept")
         discard(zones)
-        ids = kept.select("_id")
-        chosen = self.docs.join(F.broadcast(ids) if kept.count() <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+        # both carry a few numbers a class; within the bound no text or set is shuffled to meet them
+        few = kept.count() <= BROADCAST_IDS
+        chosen = self.docs.join(F.broadcast(kept.select("_id")) if few else kept.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
         # rows may repeat a doc_id, and an id several sets: one row for each class
         own = _with_sets(chosen, self.words).withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64("tokens", F.lit(1))})
-        own = own.join(kept, ["k1", "k2"]).filter("doc_id = _id").dropDuplicates(["cid"]).select("cid", F.size("tokens").alias("n"), "tokens")
+        own = own.join(F.broadcast(kept) if few else kept, ["k1", "k2"]).filter("doc_id = _id").select("cid", F.size("tokens").alias("n"), "tokens").dropDuplicates(["cid"])
         self.sets = materialize(own, "ngram-sets")
+        free_shuffles(self.docs.sparkSession)
         rows = self.sets.select(F.explode("tokens").alias("token"), "cid", "n")
         shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         ranked = rows.join(shared, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))

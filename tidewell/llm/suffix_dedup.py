@@ -506,7 +506,9 @@ class SuffixDedup:
 
 
 def removal_digest(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the whole table."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the whole table. Null texts are empty and keep
+    their row, a null id comes first, equal rows are one document and lose the same bytes, an empty table
+    gives none; other columns are not read."""
     rows = SuffixDedup(documents.select("doc_id", "text")).attached().select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), "_spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 

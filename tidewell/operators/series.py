@@ -142,6 +142,15 @@ def blocks(df: DataFrame, size: int, value: str, entity: str = "entity_id", date
     return out.filter(F.col("n") == size)
 
 
+def rolling_blocks(blocks_: DataFrame, window: int, z: float = 1.96, value: str = "mean", order: str = "block") -> DataFrame:
+    """Of the means of non-overlapping blocks the trailing mean over ``window`` of them, its standard error,
+    interval and label; only where the window is full. One row a block of a whole study."""
+    w = Window.orderBy(order).rowsBetween(1 - window, 0)
+    out = blocks_.withColumns({"rolling_mean": F.avg(value).over(w), "se": F.stddev_samp(value).over(w) / window**0.5, "_n": F.count(value).over(w)}).filter(F.col("_n") == window).drop("_n")
+    out = out.withColumns({"ci_low": F.col("rolling_mean") - z * F.col("se"), "ci_high": F.col("rolling_mean") + z * F.col("se")})
+    return out.withColumn("label", F.when(F.col("ci_low") > 0, "positive").when(F.col("ci_high") < 0, "negative").otherwise("indistinguishable from zero"))
+
+
 def drawdown(df: DataFrame, value: str, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:
     """Running peak and fall from it."""
     seen = line(entity, date).rowsBetween(Window.unboundedPreceding, 0)

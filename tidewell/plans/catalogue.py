@@ -400,6 +400,29 @@ def ic_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.blocks(s, 26, "ic")).select("block", "n", "mean", "last_date")
 
 
+@query(
+    f"""{_IC}, s AS (SELECT trade_date, ic, floor((row_number() OVER (ORDER BY trade_date) - 1) / 13) AS b FROM ic WHERE ic IS NOT NULL), k AS (SELECT CAST(b AS BIGINT) AS block, avg(ic) AS mean, max(trade_date) AS last_date FROM s GROUP BY 1 HAVING count(*) = 13),
+rolled AS (SELECT block, last_date, avg(mean) OVER w AS m, stddev_samp(mean) OVER w / sqrt(12) AS se, count(mean) OVER w AS n FROM k WINDOW w AS (ORDER BY block ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+SELECT block, last_date, round(m, 6) AS rolling_mean, round(se, 6) AS se, CASE WHEN m - 1.96 * se > 0 THEN 'positive' WHEN m + 1.96 * se < 0 THEN 'negative' ELSE 'indistinguishable from zero' END AS label FROM rolled WHERE n = 12"""
+)
+def ic_rolling_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    s = _ic(spark, sf).filter("ic is not null").withColumn("entity_id", F.lit(1))
+    return S.rolling_blocks(S.blocks(s, 13, "ic"), 12).select("block", "last_date", F.round("rolling_mean", 6).alias("rolling_mean"), F.round("se", 6).alias("se"), "label")
+
+
+@query(
+    f"""{ctes('weekly')}, y AS (SELECT year(trade_date) AS period, entity_id, median(turnover) AS liq FROM weekly GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY liq DESC, entity_id) AS r FROM y),
+h AS (SELECT period, entity_id, 1 / 30.0::DOUBLE AS weight, CASE WHEN r <= 10 THEN 23.0 WHEN r <= 20 THEN 32.5 ELSE 118.0 END AS bps FROM r WHERE r <= 30),
+m AS (SELECT coalesce(a.period, b.period + 1) AS period, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS delta, a.bps FROM h a FULL JOIN h b ON a.entity_id = b.entity_id AND a.period = b.period + 1)
+SELECT period, round(sum(abs(delta)) / 2, 8) AS turnover, round(sum(CASE WHEN delta > 0 THEN delta * bps / 10000 ELSE 0 END), 8) AS cost FROM m WHERE period <= (SELECT max(period) FROM h) GROUP BY 1"""
+)
+def rebalance_costs(spark: SparkSession, sf: str) -> DataFrame:
+    y = D.weekly(spark, sf).groupBy(F.year("trade_date").alias("period"), "entity_id").agg(F.median("turnover").alias("liq"))
+    rank = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("liq"), "entity_id"))
+    held = y.withColumn("r", rank).filter("r <= 30").withColumns({"weight": F.lit(1 / 30.0), "tercile": F.when(F.col("r") <= 10, "high_liq").when(F.col("r") <= 20, "mid_liq").otherwise("low_liq")})
+    return P.rebalance_costs(held).select("period", F.round("turnover", 8).alias("turnover"), F.round("cost", 8).alias("cost"))
+
+
 @query(
     f"""{_IC}, s AS (SELECT trade_date, ic, CAST(sign(round(ic, 6)) AS INTEGER) AS sg FROM ic WHERE ic IS NOT NULL), c AS (SELECT *, CASE WHEN sg = lag(sg) OVER (ORDER BY trade_date) THEN 0 ELSE 1 END AS n FROM s), rg AS (SELECT *, sum(n) OVER (ORDER BY trade_date) AS regime FROM c)
 SELECT CAST(regime AS BIGINT) AS regime, any_value(sg) AS sign, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS n FROM rg GROUP BY regime"""

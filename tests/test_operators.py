@@ -139,3 +139,34 @@ def test_overwrite_of_days(spark, tmp_path):
     text.overwrite_days(f([("d1", 1), ("d2", 2)]), p)
     text.overwrite_days(f([("d2", 5)]), p)
     assert sorted((r.trade_date, r.v) for r in spark.read.parquet(p).collect()) == [("d1", 1), ("d2", 5)]
+
+
+def test_asof_across_spans_and_without_times(spark):
+    rng = np.random.default_rng(3)
+    day = lambda n: D(2020, 1, 1) + dt.timedelta(int(n))
+    left = [("ab"[i % 2], day(n) if n % 11 else None, i) for i, n in enumerate(rng.integers(0, 900, 120))]
+    right = [("ab"[i % 2], day(n) if n % 7 else None, float(i)) for i, n in enumerate(rng.integers(100, 800, 25))]
+    lf, rf = spark.createDataFrame(left, "k string, t date, i int"), spark.createDataFrame(right, "k string, u date, v double")
+    for forward, found in ((False, joins.asof_backward(lf, rf, "k", "t", "u", ["v"])), (True, joins.asof_forward(lf, rf, "k", "t", "u", ["v"]))):
+        got = {r.i: (r.matched_ts, r.v) for r in found.collect()}
+        for k, t, i in left:
+            near = [(u, v) for kk, u, v in right if kk == k and u and t and (u >= t if forward else u <= t)]
+            at = (min if forward else max)((u for u, _ in near), default=None)
+            assert got[i] == (at, max((v for u, v in near if u == at), default=None))
+
+
+@pytest.mark.parametrize("spread", [1, 5])
+def test_numbers_of_a_group_are_whole(spark, spread):
+    df = spark.createDataFrame([("ab"[i % 3 == 0], i) for i in range(60)], "k string, v int")
+    rows = inference.numbered(df, ["k"], spread).collect()
+    for k, n in (("a", 40), ("b", 20)):
+        assert sorted(r._i for r in rows if r.k == k) == list(range(n)) and {r._n for r in rows if r.k == k} == {n}
+
+
+def test_picks_with_nulls_ties_and_no_rows(spark):
+    rows = [(None if i % 9 == 0 else float(i % 4), i) for i in range(80)]
+    df = spark.createDataFrame(rows, "x double, i int")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0, r[1]))
+    want = [ordered[round(k * 79 / 4)][1] for k in range(5)]
+    assert sorted(r.i for r in portfolio.picks_by_percentile(df, ["x", "i"], 5, 16).collect()) == sorted(want)
+    assert portfolio.picks_by_percentile(df.filter("i < 0"), ["x", "i"], 5).collect() == []

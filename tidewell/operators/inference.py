@@ -60,21 +60,34 @@ def block_bootstrap(values: DataFrame, order: str, value: str, length: int, resa
     return draws.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high")).select(F.lit(len(x)).cast("long").alias("n"), F.lit(float(x.mean())).alias("mean"), "low", "high")
 
 
-def timing_null(trades: DataFrame, candidates: DataFrame, on: list[str], value: str, seeds: int, ident: list[str]) -> DataFrame:
+def numbered(df: DataFrame, on: list[str], spread: int = 1) -> DataFrame:
+    """``_i``: 0, 1, ... within each group, and ``_n``, its size. A group is numbered in ``spread``
+    parts (by a hash of its rows), each shifted by the sizes of the parts before it."""
+    rest = [c for c in df.columns if c not in on]
+    part = df.withColumn("_part", F.pmod(F.xxhash64(*rest), F.lit(spread)))
+    w = Window.partitionBy(*on)
+    sizes = part.groupBy(*on, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.select(*on, "_part", (F.sum("_c").over(w.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    rows = part.withColumn("_r", F.row_number().over(Window.partitionBy(*on, "_part").orderBy(*rest)))
+    return rows.join(sizes, [*on, "_part"]).withColumn("_i", F.col("_before") + F.col("_r") - 1).drop("_part", "_before", "_r")
+
+
+def timing_null(trades: DataFrame, candidates: DataFrame, on: list[str], value: str, seeds: int, ident: list[str], spread: int = 1) -> DataFrame:
     """Mean outcome of each seed when every trade's entry is moved to a random candidate of its day.
 
     A day's candidates are numbered; each (seed, trade) draws a number by a hash and meets the
     candidate by an equi join."""
-    numbered = candidates.withColumn("_i", F.row_number().over(Window.partitionBy(*on).orderBy(*[c for c in candidates.columns if c not in on])) - 1)
-    sized = numbered.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    pool = numbered(candidates, on, spread)
+    sized = pool.groupBy(*on).agg(F.max("_n").alias("_n"))
     drawn = trades.select(*on, *[c for c in ident if c not in on]).join(sized, on).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
-    drawn = drawn.withColumn("_i", F.pmod(F.xxhash64("seed", *ident), F.col("_n")).cast("int"))
-    return drawn.join(numbered, [*on, "_i"]).groupBy("seed").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    drawn = drawn.withColumn("_i", F.pmod(F.xxhash64("seed", *ident), F.col("_n")))
+    return drawn.join(pool.drop("_n"), [*on, "_i"]).groupBy("seed").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def selection_null(trades: DataFrame, pool: DataFrame, on: list[str], value: str, seeds: int, ident: list[str]) -> DataFrame:
-    """As :func:`timing_null`, with the pool of a whole month (or other stratum) to draw from."""
-    return timing_null(trades, pool, on, value, seeds, ident)
+    """As :func:`timing_null`, with the pool of a whole month (or other stratum) to draw from; a pool
+    is numbered in 64 parts."""
+    return timing_null(trades, pool, on, value, seeds, ident, 64)
 
 
 def circular_shift(df: DataFrame, value: str, by: int, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:

@@ -4,25 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _asof(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], forward: bool) -> DataFrame:
-    """Both sides in one time line per key, the value carried by a window: one shuffle on the key, no
-    pair of rows is ever formed. Right rows of equal time: the one whose values are largest."""
+TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _asof(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], forward: bool, span: str = "month") -> DataFrame:
+    """Both sides in one time line per key, the value carried by a window: no pair of rows is ever
+    formed. Right rows of equal time: the one whose values are largest. A left row without a time
+    finds nothing, a right row without one is never found.
+
+    Dates and timestamps are cut into spans, and a span is one window partition, so a hot key is many
+    tasks. What a span inherits from those before it (after it, forward) is settled on one row a key
+    and span and enters the line as its first row."""
+    timed = isinstance(left.schema[left_ts].dataType, TIMES) and isinstance(right.schema[right_ts].dataType, TIMES)
+    cut = (lambda c: F.trunc(c, span)) if timed else (lambda c: F.lit(None).cast("date"))
     side = F.struct(F.col(right_ts).alias("_at"), *values)
-    lefts = left.select(F.col(key).alias("_key"), F.col(left_ts).alias("_ts"), F.lit(0 if forward else 1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"))
-    rights = right.select(F.col(key).alias("_key"), F.col(right_ts).alias("_ts"), F.lit(1 if forward else 0).alias("_side"), F.lit(None).alias("_left"), side.alias("_right"))
+    lefts = left.select(F.col(key).alias("_key"), cut(left_ts).alias("_span"), F.col(left_ts).alias("_ts"), F.lit(0 if forward else 1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"))
+    rights = right.filter(F.col(right_ts).isNotNull()).select(F.col(key).alias("_key"), cut(right_ts).alias("_span"), F.col(right_ts).alias("_ts"), F.lit(1 if forward else 0).alias("_side"), F.lit(None).alias("_left"), side.alias("_right"))
     line = lefts.unionByName(rights)
-    order = [F.col("_ts"), F.col("_side"), F.col("_right")]
+    if timed:
+        line = line.unionByName(_inherited(line, forward))
     if forward:
         # descending time: right rows of equal time come before the left row, the largest first
-        w = Window.partitionBy("_key").orderBy(F.col("_ts").desc(), F.col("_side").desc(), F.col("_right").asc()).rowsBetween(Window.unboundedPreceding, 0)
+        order = [F.col("_ts").desc_nulls_first(), F.col("_side").desc(), F.col("_right").asc()]
     else:
-        w = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = line.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).filter("_left is not null")
+        order = [F.col("_ts").asc_nulls_first(), F.col("_side"), F.col("_right")]
+    w = Window.partitionBy("_key", "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("_hit", F.when(F.col("_ts").isNotNull(), F.last("_right", ignorenulls=True).over(w))).filter("_left is not null")
     return found.select("_left.*", F.col("_hit._at").alias("matched_ts"), *(F.col(f"_hit.{v}").alias(v) for v in values))
 
 
+def _inherited(line: DataFrame, forward: bool) -> DataFrame:
+    """For each key and span the right row that the spans before it (after it, forward) leave over."""
+    if forward:
+        at = line.groupBy("_key", "_span", "_ts").agg(F.max("_right").alias("_right"))
+        tops = at.groupBy("_key", "_span").agg(F.min_by("_right", F.when(F.col("_right").isNotNull(), F.col("_ts"))).alias("_top"))
+        order = F.col("_span").desc_nulls_first()
+    else:
+        tops = line.groupBy("_key", "_span").agg(F.max("_right").alias("_top"))
+        order = F.col("_span").asc_nulls_first()
+    w = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    types = dict(line.dtypes)
+    null = lambda c: F.lit(None).cast(types[c]).alias(c)
+    carried_ = tops.select("_key", "_span", F.last("_top", ignorenulls=True).over(w).alias("_right")).filter("_right is not null")
+    return carried_.select("_key", "_span", null("_ts"), F.lit(1 if forward else 0).alias("_side"), null("_left"), "_right")
+
+
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
     """Each left row with the latest right row at or before it; nulls where there is none."""
     return _asof(left, right, key, left_ts, right_ts, values, False)

@@ -128,12 +128,30 @@ def whole_shares(risk: float, stop_distance: Column) -> Column:
     return F.when(stop_distance > 0, F.floor(F.lit(risk) / stop_distance))
 
 
-def picks_by_percentile(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """``n`` rows spread evenly over the order, both ends included."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
-    total = df.count()
-    places = sorted({round(k * (total - 1) / max(1, n - 1)) for k in range(n)}) if total else []
-    return ranked.filter(F.col("_i").isin(places)).drop("_i")
+def picks_by_percentile(df: DataFrame, order: list[str], n: int, buckets: int = 256) -> DataFrame:
+    """``n`` rows spread evenly over the order, both ends included; none from an empty table.
+
+    Approximate quantiles of the first column (a number or a date) cut the rows into buckets, the
+    buckets are counted, and rows are numbered only in those few that hold a place."""
+    cuts = df.agg(F.percentile_approx(order[0], [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    edges = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else None
+    # a null compares with no edge: it is in bucket 0, where it sorts first
+    bucket = F.size(F.filter(edges, lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
+    placed = df.withColumn("_b", bucket)
+    sizes = {r["_b"]: r["count"] for r in placed.groupBy("_b").count().collect()}
+    total, before, ranks = sum(sizes.values()), 0, {}
+    places = {round(k * (total - 1) / max(1, n - 1)) for k in range(n)} if total else set()
+    for b in sorted(sizes):
+        inside = sorted(p - before + 1 for p in places if before <= p < before + sizes[b])
+        if inside:
+            ranks[b] = inside
+        before += sizes[b]
+    if not ranks:
+        return df.filter(F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    wanted = F.create_map(*(x for b, rs in ranks.items() for x in (F.lit(b), F.array(*(F.lit(r) for r in rs)))))
+    numbered = placed.filter(F.col("_b").isin(list(ranks))).withColumn("_i", rank)
+    return numbered.filter(F.array_contains(wanted[F.col("_b")], F.col("_i"))).drop("_b", "_i")
 
 
 def stratified_sample(df: DataFrame, keys: list[str], n: int, seed: int, ident: list[str]) -> DataFrame:

@@ -193,8 +193,10 @@ def beta_bootstrap(df: DataFrame, y: str, x: str, day: str, length: int, resampl
 
 def residual_bootstrap(df: DataFrame, y: str, x: str, day: str, anchor: str, resamples: int, seed: int = 1) -> DataFrame:
     """p-value of a slope under the imposed null: residuals about each anchor's mean move between days
-    of the same anchor, the slope is fitted anew. One study's rows; seeds are spread over tasks."""
-    rows = df.dropna(subset=[x, y]).select(day, anchor, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).orderBy(day, anchor, "x", "y").toPandas()
+    of the same anchor, the slope is fitted anew. An observation is a day's anchor (the mean of its
+    rows), so days times anchors reach the driver, however many rows; seeds are spread over tasks."""
+    cells = df.dropna(subset=[day, anchor, x, y]).groupBy(day, anchor).agg(F.avg(F.col(x).cast("double")).alias("x"), F.avg(F.col(y).cast("double")).alias("y"))
+    rows = cells.select(day, anchor, F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).orderBy(day, anchor).toPandas()
     spark = df.sparkSession
     if len(rows) < 3:
         return spark.createDataFrame([], "n long, beta double, p double")

@@ -84,8 +84,8 @@ def missing_days(rows: DataFrame, holidays: DataFrame | None = None, entity: str
 
 def gap_policy(gaps: DataFrame, blocked: DataFrame, today: str, alert_days: int = 30, date: str = "trade_date") -> DataFrame:
     """blocked where a closed window covers the day, else alert for old gaps, else fill."""
-    hit = gaps.join(F.broadcast(blocked.select("start", "end")), F.col(date).between(F.col("start"), F.col("end")), "left_semi").select(*gaps.columns).withColumn("_b", F.lit(True))
-    out = gaps.join(hit.distinct(), gaps.columns, "left")
+    closed = blocked.filter("start <= end").select(F.explode(F.sequence("start", "end")).alias(date)).distinct().withColumn("_b", F.lit(True))
+    out = gaps.join(closed, date, "left").select(*gaps.columns, "_b")
     return out.withColumn("action", F.when(F.col("_b"), "blocked").when(F.datediff(F.lit(today).cast("date"), F.col(date)) > alert_days, "alert").otherwise("fill")).drop("_b")
 
 

@@ -162,15 +162,13 @@ def missing_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{ctes('daily')}, s AS (SELECT min(trade_date) a, max(trade_date) b FROM daily), d AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS trade_date FROM s),
-g AS (SELECT trade_date FROM d WHERE isodow(trade_date) < 6 AND trade_date NOT IN (SELECT trade_date FROM daily WHERE entity_id = 3))
-SELECT trade_date, CASE WHEN trade_date BETWEEN DATE '1996-03-01' AND DATE '1996-06-30' THEN 'blocked' WHEN DATE '2001-11-01' - trade_date > 30 THEN 'alert' ELSE 'fill' END AS action FROM g
-WHERE trade_date BETWEEN (SELECT min(trade_date) FROM daily WHERE entity_id = 3) AND (SELECT max(trade_date) FROM daily WHERE entity_id = 3)"""
+    f"""{ctes('daily')}, s AS (SELECT entity_id, min(trade_date) a, max(trade_date) b FROM daily GROUP BY 1), d AS (SELECT entity_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS trade_date FROM s),
+g AS (SELECT * FROM d WHERE isodow(trade_date) < 6 AND NOT EXISTS (SELECT 1 FROM daily x WHERE x.entity_id = d.entity_id AND x.trade_date = d.trade_date))
+SELECT entity_id, trade_date, CASE WHEN trade_date BETWEEN DATE '1996-03-01' AND DATE '1996-06-30' THEN 'blocked' WHEN DATE '2001-11-01' - trade_date > 30 THEN 'alert' ELSE 'fill' END AS action FROM g"""
 )
 def gap_policy(spark: SparkSession, sf: str) -> DataFrame:
-    gaps = W.missing_days(D.daily(spark, sf).filter("entity_id = 3")).select("trade_date")
     blocked = spark.sql("select date '1996-03-01' as start, date '1996-06-30' as end")
-    return W.gap_policy(gaps, blocked, "2001-11-01")
+    return W.gap_policy(W.missing_days(D.daily(spark, sf)), blocked, "2001-11-01")
 
 
 @query(f"{ctes('daily')} SELECT max(trade_date) AS latest, CAST(DATE '2001-11-06' - max(trade_date) AS INTEGER) AS age_days, DATE '2001-11-06' - max(trade_date) <= 3 AS fresh FROM daily")
@@ -807,7 +805,7 @@ def timing_null(spark: SparkSession, sf: str) -> DataFrame:
 def selection_null(spark: SparkSession, sf: str) -> DataFrame:
     t = _trades(spark, sf).withColumn("month", F.date_trunc("month", "entry_date"))
     pool = t.select("month", "o_orderkey", "ret")
-    return I.selection_null(t.filter("o_orderkey % 10 = 0").select("month", "o_orderkey"), pool, ["month"], "ret", 30, ["month", "o_orderkey"])
+    return I.selection_null(t.select("month", "o_orderkey"), pool, ["month"], "ret", 30, ["month", "o_orderkey"])
 
 
 @query(f"{ctes('weekly')}, r AS (SELECT entity_id, trade_date, close, row_number() OVER ({_W}) - 1 AS r, count(*) OVER (PARTITION BY entity_id) AS n FROM weekly) SELECT a.entity_id, a.trade_date, a.close, b.close AS shifted FROM r a JOIN r b ON a.entity_id = b.entity_id AND a.r = (b.r + 5) % b.n")

@@ -200,7 +200,7 @@ def beta_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def residual_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    e = D.table(spark, sf, "events").filter("user_id % 10 = 0").select(F.to_date("ts").alias("day"), F.hour("ts").alias("anchor"), (F.col("event_id") % 13).cast("double").alias("x"), F.col("value").alias("y"))
+    e = D.table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.hour("ts").alias("anchor"), (F.col("event_id") % 13).cast("double").alias("x"), F.col("value").alias("y"))
     return U.residual_bootstrap(e, "y", "x", "day", "anchor", 200)
 
 

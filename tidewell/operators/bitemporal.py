@@ -44,6 +44,14 @@ def pit_collapsed(filings: DataFrame, entity: str = "isin") -> DataFrame:
     return pick_first(filings.withColumn("_any", any_cons).filter(is_cons == F.col("_any")).drop("_any"), [entity, "period_end"], [F.col("known_date").desc(), F.col("seq_number").desc()])
 
 
+def shares_outstanding(paid_up: DataFrame, face_value: DataFrame, entity: str = "isin") -> DataFrame:
+    """Paid-up capital over face value per entity and period, each picked point in time; known when
+    the capital is. A face value of 0 or less gives no row."""
+    cap = pit_collapsed(paid_up, entity).select(entity, "period_end", "known_date", F.col("value").alias("_cap"))
+    face = pit_collapsed(face_value, entity).select(entity, "period_end", F.col("value").alias("_face")).filter("_face > 0")
+    return cap.join(face, [entity, "period_end"]).select(entity, "period_end", "known_date", (F.col("_cap") / F.col("_face")).alias("shares_outstanding"))
+
+
 def append_new(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``incoming`` whose key is not there yet: what an idempotent load appends."""
     return incoming.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")

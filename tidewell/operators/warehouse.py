@@ -41,6 +41,19 @@ def lineage_roots(isins: DataFrame, links: DataFrame, rounds: int = 24) -> DataF
     raise RuntimeError("a chain of identifiers is a cycle")
 
 
+def resolver_as_of(isins: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+    """isin, entity_id from the links known on ``as_of`` alone."""
+    return lineage_roots(isins, links.filter(F.col("known_date") <= F.lit(as_of).cast("date")))
+
+
+def jump_map(prices: DataFrame, actions: DataFrame, links: DataFrame, roots: DataFrame, limit: float = 1.5) -> DataFrame:
+    """entity_id, trade_date of every unexplained jump: at a change of identifier, or under one
+    identifier without an action near. ``prices`` and ``actions`` bear ``isin``."""
+    same = jumps(prices, actions, limit, entity="isin").filter("not near_action").select("isin", "trade_date")
+    ends = boundary_jumps(prices, links, limit).select("isin", F.col("known_date").alias("trade_date"))
+    return same.unionByName(ends).join(roots, "isin").select("entity_id", "trade_date").distinct()
+
+
 def adjustment_factors(days: DataFrame, actions: DataFrame, entity: str = "entity_id") -> DataFrame:
     """``days`` plus factor: the product of 1 / ratio over the entity's actions after the day.
 

@@ -80,6 +80,32 @@ def ols(df: DataFrame, y: str, xs: list[str], keys: list[str] | None = None) ->
     return whole.groupBy(*(keys or [])).agg(*(F.sum(cols[a] * cols[b]).alias(f"{a}__{b}") for i, a in enumerate(names) for b in names[i:]))
 
 
+def nested_r2(df: DataFrame, y: str, reduced: list[str], full: list[str], keys: list[str] | None = None) -> DataFrame:
+    """R squared of the fits on ``reduced`` and on ``full`` (which holds them), and what the further
+    columns add, over rows complete in ``full``: one pass, then one small row per key is solved."""
+    import numpy as np
+
+    keys = keys or []
+    sums = ols(df, y, full, keys)
+    out = ", ".join([*(f"{k} {t}" for k, t in sums.select(*keys).dtypes), "n long, r2_reduced double, r2_full double, r2_added double"])
+
+    def r2(row: dict, xs: list[str]) -> float:
+        names = ["one", *xs]
+        fit = np.dot(solve_ols(row, xs), [row[f"{a}__y"] for a in names])
+        total = row["y__y"] - row["one__y"] ** 2 / row["one__one"]
+        return 1 - (row["y__y"] - fit) / total if total > 0 else float("nan")
+
+    def solve(batches):
+        for b in batches:
+            rows = b.to_dict("records")
+            for row, (a, c) in zip(rows, [(r2(r, reduced), r2(r, full)) if r["one__one"] else (float("nan"),) * 2 for r in rows], strict=True):
+                row |= {"n": int(row["one__one"] or 0), "r2_reduced": a, "r2_full": c, "r2_added": c - a}
+            yield b.assign(**{c: [r[c] for r in rows] for c in ("n", "r2_reduced", "r2_full", "r2_added")})[[*keys, "n", "r2_reduced", "r2_full", "r2_added"]]
+
+    whole = sums.na.fill(0.0) if not keys else sums
+    return whole.mapInPandas(solve, out)
+
+
 def solve_ols(row: dict, xs: list[str]) -> list[float]:
     """Coefficients, intercept first; the least-norm solution where columns are dependent."""
     import numpy as np

@@ -866,4 +866,4 @@ def trigger_state(spark: SparkSession, sf: str) -> DataFrame:
     return L.replay(spark, sf, "events", lambda s: L.triggers(s, 20.0, 90.0), "triggers", "append")
 
 
-from . import studies  # noqa: E402,F401  registers its queries
+from . import selections, studies  # noqa: E402,F401  register their queries

@@ -247,13 +247,3 @@ def listing_rescale(spark: SparkSession, sf: str) -> DataFrame:
     e = D.weekly(spark, sf).groupBy("entity_id").agg(F.max_by("close", "trade_date").alias("last_close"))
     r = F.col("last_close") / (F.col("last_close") * F.when(F.col("entity_id") % 4 == 0, 0.5).otherwise(1.01))
     return e.select("entity_id", F.when(F.abs(r - 1) > 0.02, F.round(r, 9)).otherwise(1.0).alias("rescale"))
-
-
-@query()
-def boundary_jumps(spark: SparkSession, sf: str) -> DataFrame:
-    from .catalogue import _spans
-
-    spans = _spans(spark, sf)
-    prices = D.table(spark, sf, "orders").select(F.concat(F.lit("S"), F.col("o_custkey") % 40).alias("symbol"), F.to_date("o_orderdate").alias("trade_date"), F.col("o_totalprice").alias("close"))
-    held = prices.join(spans, "symbol").filter(F.col("trade_date").between(F.col("first_date"), F.col("last_date")))
-    return W.boundary_jumps(held.select("isin", "trade_date", "close"), W.lineage_links(spans))

@@ -104,3 +104,76 @@ def work_list(spark: SparkSession, first: str, last: str, done: DataFrame | None
     """Weekdays still to load."""
     days = spark.sql(f"select explode(sequence(date '{first}', date '{last}')) as trade_date").filter(F.weekday("trade_date") < 5)
     return days.join(done.select("trade_date"), "trade_date", "left_anti") if done is not None else days
+
+
+def trimmed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV as strings, blanks around header names and values dropped."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.toDF(*(c.strip() for c in raw.columns)).select(*(F.trim(F.col(f"`{c.strip()}`")).alias(c.strip()) for c in raw.columns))
+
+
+def index_file(spark: SparkSession, path: str, date: str, name: str, columns: dict[str, str], label: str = "Index Name") -> DataFrame:
+    """The day's row of one index from a file of all: ``columns`` maps the file's names to ours, as
+    numbers; no row where the file does not list the index."""
+    rows = trimmed_csv(spark, path).filter(F.col(f"`{label}`") == name)
+    return rows.select(F.lit(name).alias("index_name"), F.lit(date).cast("date").alias("trade_date"), *(F.col(f"`{a}`").try_cast("double").alias(b) for a, b in columns.items())).limit(1)
+
+
+def csv_log(spark: SparkSession, path: str, times: list[str]) -> DataFrame:
+    """A log in CSV, ``times`` as timestamps; null where a time cannot be read."""
+    return trimmed_csv(spark, path).withColumns({c: F.try_to_timestamp(c) for c in times})
+
+
+def holidays(spark: SparkSession, path: str) -> DataFrame:
+    """year, trade_date (null for a year that lists none) of a JSON file {year: [dates]}."""
+    whole = spark.read.option("wholetext", True).text(path)
+    years = whole.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("year", "days"))
+    return years.select(F.col("year").cast("int").alias("year"), F.explode_outer("days").alias("day")).select("year", F.to_date("day").alias("trade_date"))
+
+
+def with_holidays(df: DataFrame, calendar: DataFrame, date: str = "trade_date", out: str = "holiday") -> DataFrame:
+    """``df`` with a flag. A year that the calendar lacks raises: an unknown day is never called open."""
+    years = calendar.groupBy("year").agg(F.collect_set("trade_date").alias("_days"))
+    found = df.withColumn("_year", F.year(date)).join(F.broadcast(years.withColumnRenamed("year", "_year")), "_year", "left")
+    flag = F.when(F.col(date).isNull(), F.lit(None).cast("boolean")).when(F.col("_days").isNull(), F.raise_error(F.concat(F.lit("no holidays known for "), F.col("_year").cast("string"))).cast("boolean"))
+    return found.withColumn(out, flag.otherwise(F.array_contains("_days", F.col(date)))).drop("_year", "_days")
+
+
+def save_frozen(df: DataFrame, path: str) -> str:
+    """Write a table once, with the digest of its rows beside it. An artefact that is there raises."""
+    df.write.mode("error").parquet(f"{path}/rows")
+    spark = df.sparkSession
+    digest = content_hash(spark.read.parquet(f"{path}/rows"))
+    spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("error").json(f"{path}/digest")
+    return digest
+
+
+def load_frozen(spark: SparkSession, path: str) -> DataFrame:
+    """A table of :func:`save_frozen`. A missing one raises, as does one whose rows no longer give
+    their digest; it is never computed anew."""
+    rows = spark.read.parquet(f"{path}/rows")
+    if content_hash(rows) != spark.read.schema("digest string").json(f"{path}/digest").first()["digest"]:
+        raise ValueError(f"rows of {path} differ from their digest")
+    return rows
+
+
+def insert_rows(df: DataFrame, path: str) -> None:
+    """Append to a table in its own column order and types; a missing or unknown column raises."""
+    spark = df.sparkSession
+    there = spark.read.parquet(path).schema
+    if set(df.columns) != set(there.fieldNames()):
+        raise ValueError(f"columns differ: {sorted(set(df.columns) ^ set(there.fieldNames()))}")
+    df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in there)).write.mode("append").parquet(path)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Append to a folder of CSV files, each with its one header."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def records(spark: SparkSession, path: str, schema: str, columns: dict[str, str], dates: dict[str, str] | None = None) -> DataFrame:
+    """Rows of a JSON array file or pages of them (filings, corporate actions): ``columns`` maps the
+    file's names to ours, ``dates`` the format of those of ours that are dates. Pages that repeat a
+    row give it once."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(*(F.col(f"`{a}`").alias(b) for a, b in columns.items()))
+    return rows.withColumns({c: F.try_to_timestamp(c, F.lit(f)).cast("date") for c, f in (dates or {}).items()}).distinct()

@@ -163,6 +163,31 @@ def test_numbers_of_a_group_are_whole(spark, spread):
         assert sorted(r._i for r in rows if r.k == k) == list(range(n)) and {r._n for r in rows if r.k == k} == {n}
 
 
+@pytest.mark.parametrize("block", [1 << 20, 7])
+def test_selection_null_draws_as_by_rows(spark, block):
+    """The same draws as one row each would give, in strata of one block and of many."""
+    pool = spark.createDataFrame([(("a", "b", "c", None)[min(i % 5, 3)], i, i * 0.5 if i % 6 else None) for i in range(90)], "k string, v int, x double")
+    trades = spark.createDataFrame([(("a", "b", "d", None)[i % 4], i, D(2020, 1, 1) + dt.timedelta(i) if i % 7 else None, i << 33) for i in range(70)], "k string, i int, d date, l long")
+    trades = trades.withColumn("t", F.expr("timestamp_seconds(i * 1001)"))
+    ident = ["k", "i", "d", "l", "t"]
+    plain = {r.seed: r for r in inference.timing_null(trades, pool, ["k"], "x", 8, ["i", "d", "l", "t"], 64).collect()}
+    got = {r.seed: r for r in inference.selection_null(trades, pool, ["k"], "x", 8, ["i", "d", "l", "t"], block).collect()}
+    assert set(got) == set(plain) == set(range(1, 9))
+    for seed, r in plain.items():
+        assert got[seed].n == r.n == 36 and got[seed]["mean"] == pytest.approx(r["mean"], abs=1e-12)
+    assert inference.selection_null(trades, pool, ["k"], "x", 2, ident, block).count() == 2
+    assert inference.selection_null(trades, pool.filter("v < 0"), ["k"], "x", 2, ident, block).collect() == []
+
+
+def test_selection_null_broadcasts_no_trades(spark):
+    """Nothing but large strata is broadcast: neither trades nor draws nor the pool, whatever sizes are planned."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("i"), F.rand(1).alias("x"))
+    plan = inference.selection_null(rows.select("k", "i"), rows, ["k"], "x", 5, ["i"])._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    built = [lines[i + 1] + lines[i + 2] for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    assert len(built) == 2 and all("Filter" in x and "> 1)" in x for x in built)
+
+
 def test_picks_with_nulls_ties_and_no_rows(spark):
     rows = [(None if i % 9 == 0 else float(i % 4), i) for i in range(80)]
     df = spark.createDataFrame(rows, "x double, i int")

@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def numbered(df: DataFrame, on: list[str], spread: int = 1) -> DataFrame:
     sizes = part.groupBy(*on, "_part").agg(F.count(F.lit(1)).alias("_c"))
     sizes = sizes.select(*on, "_part", (F.sum("_c").over(w.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
     rows = part.withColumn("_r", F.row_number().over(Window.partitionBy(*on, "_part").orderBy(*rest)))
-    return rows.join(sizes, [*on, "_part"]).withColumn("_i", F.col("_before") + F.col("_r") - 1).drop("_part", "_before", "_r")
+    # merged, as planned sizes take the numbered rows for a table that can be broadcast
+    return rows.hint("merge").join(sizes, [*on, "_part"]).withColumn("_i", F.col("_before") + F.col("_r") - 1).drop("_part", "_before", "_r")
 
 
 def timing_null(trades: DataFrame, candidates: DataFrame, on: list[str], value: str, seeds: int, ident: list[str], spread: int = 1) -> DataFrame:
@@ -84,10 +86,77 @@ def timing_null(trades: DataFrame, candidates: DataFrame, on: list[str], value:
     return drawn.join(pool.drop("_n"), [*on, "_i"]).groupBy("seed").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def selection_null(trades: DataFrame, pool: DataFrame, on: list[str], value: str, seeds: int, ident: list[str]) -> DataFrame:
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _xxhash64(x: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of int32 or int64 numbers, ``before`` being the hash of the columns before."""
+    if x.dtype == np.int32:
+        h = (before + _P5 + np.uint64(4)) ^ (x.view(np.uint32).astype(np.uint64) * _P1)
+        h = _turn(h, 23) * _P2 + _P3
+    else:
+        h = (before + _P5 + np.uint64(8)) ^ (_turn(x.view(np.uint64) * _P2, 31) * _P1)
+        h = _turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _as_number(df: DataFrame, c: str) -> Column:
+    """A column as the int or long that Spark hashes for it; of other types, its hash."""
+    kind = dict(df.dtypes)[c]
+    if kind in ("int", "bigint"):
+        return F.col(c)
+    if kind in ("tinyint", "smallint", "boolean"):
+        return F.col(c).cast("int")
+    return {"date": F.unix_date, "timestamp": F.unix_micros}.get(kind, lambda x: F.when(x.isNotNull(), F.xxhash64(x)))(F.col(c))
+
+
+def selection_null(trades: DataFrame, pool: DataFrame, on: list[str], value: str, seeds: int, ident: list[str], block: int = 1 << 20) -> DataFrame:
     """As :func:`timing_null`, with the pool of a whole month (or other stratum) to draw from; a pool
-    is numbered in 64 parts."""
-    return timing_null(trades, pool, on, value, seeds, ident, 64)
+    is numbered in 64 parts.
+
+    Draws are not rows: a stratum's outcomes lie in an array beside its trades, and each task draws for
+    all seeds and hands on one sum a seed. Strata of over ``block`` rows are cut into blocks of trades
+    and of outcomes, and every block of trades meets every block of outcomes."""
+    known = " and ".join(f"`{c}` is not null" for c in on)  # as in an equi join
+    trades, pool = trades.filter(known), pool.filter(known)
+    both = trades.select(*on, F.lit(1).alias("_m"), F.lit(0).alias("_n")).unionAll(pool.select(*on, F.lit(0).alias("_m"), F.lit(1).alias("_n")))
+    # few: a block's rows stand behind each
+    large = both.groupBy(*on).agg(*(F.ceil(F.sum(c) / block).alias(c) for c in ("_m", "_n"))).filter("_m > 1 or _n > 1").select(*on, F.col("_m").alias("_ms"), F.col("_n").alias("_ns"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)).cast("int") - 1))
+    keys, by = [f"_k{i}" for i in range(len(ident))], [*(f"_g{i}" for i in range(len(on))), "_t", "_p"]
+    strata = [F.col(c).alias(g) for c, g in zip(on, by, strict=False)]  # new columns, as both sides may come of one table
+    left = trades.join(F.broadcast(large), on, "left").withColumn("_t", F.pmod(F.xxhash64(F.lit("block"), *ident), F.greatest(F.coalesce("_ms", F.lit(1)), F.lit(1))).cast("int")).withColumn("_p", upto("_ns"))
+    left = left.select(*strata, "_t", "_p", *(_as_number(trades, c).alias(k) for c, k in zip(ident, keys, strict=True)))
+    right = numbered(pool, on, 64).join(F.broadcast(large), on, "left").withColumn("_p", F.expr(f"cast(_i div {block} as int)")).withColumn("_t", upto("_ms"))
+    right = right.select(*strata, "_t", "_p", (F.col("_i") % block).cast("int").alias("_i"), "_n", F.col(value).cast("double").alias("_v"))
+    names = ["seed", "_sum", "_known", "n"]
+
+    def drawn(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if a.num_rows and b.num_rows:
+            size, first = b["_n"][0].as_py(), b["_p"][0].as_py() * block
+            values, known = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            at = b["_i"].to_numpy()
+            values[at], known[at] = b["_v"].fill_null(0.0).to_numpy(), b["_v"].is_valid().to_numpy()
+            columns = [(a[k].fill_null(0).to_numpy(), a[k].is_valid().to_numpy() if a[k].null_count else None) for k in keys]
+            for seed in range(1, seeds + 1):
+                h = np.broadcast_to(_xxhash64(np.array([seed], np.int32), np.array([42], np.uint64)), a.num_rows)
+                for x, there in columns:
+                    h = _xxhash64(x, h) if there is None else np.where(there, _xxhash64(x, h), h)
+                i = h.view(np.int64) % size - first
+                if size > block:
+                    i = i[(i >= 0) & (i < b.num_rows)]
+                rows.append((seed, float(values[i].sum()), int(known[i].sum()), len(i)))
+        return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(zip(names, (pa.int32(), pa.float64(), pa.int64(), pa.int64()), strict=True))})
+
+    sums = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(drawn, "seed int, _sum double, _known long, n long")
+    return sums.groupBy("seed").agg(F.try_divide(F.sum("_sum"), F.sum("_known")).alias("mean"), F.sum("n").alias("n")).filter("n > 0")
 
 
 def circular_shift(df: DataFrame, value: str, by: int, entity: str = "entity_id", date: str = "trade_date") -> DataFrame:

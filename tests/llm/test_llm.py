@@ -298,6 +298,38 @@ def test_long_words_equal_the_library(spark, n):
         assert model.encode_word(pieces.SPACE + t) == lib.encode(t) or "漢" in t
 
 
+@needs_model
+def test_words_reach_their_blocks_packed(spark):
+    """A row for each task and block, and in it every word of the block once, with its ids."""
+    model = pieces.PieceModel.load()
+    texts = [(b, f"the {'xyz'[b % 3]}ab{b % 11}, w{b}.  two   " + " " * (b % 2) + ("x" * 70) * (b % 5 == 0)) for b in range(150)] + [(3, "   "), (149, "▁ the")]
+    df = spark.createDataFrame(texts, "block int, text string").repartition(3)
+    want: dict[int, set[str]] = {}
+    for b, t in texts:
+        want.setdefault(b, set()).update(w for x in pieces._TOKENS.findall(pieces.SPACE + t.replace(" ", pieces.SPACE)) for w in __import__("re").findall(model.pattern, x))
+    lexicon = pieces.segmented(pieces.words_of_blocks(df, model), model)
+    rows = pieces.words_to_blocks(lexicon.coalesce(2), len(model.names)).collect()
+    assert len(rows) <= 2 * 150
+    got: dict[int, list] = {}
+    for r in rows:
+        words, ids, ends = pieces.unpack([bytes(r.frame)])
+        got.setdefault(r.block, []).extend((w, ids[a:b].tolist()) for w, a, b in zip(words.to_pylist(), ends[:-1], ends[1:], strict=True))
+    assert {b: sorted(w for w, _ in x) for b, x in got.items()} == {b: sorted(w) for b, w in want.items()}
+    assert all(ids == model.encode_word(w) for x in got.values() for w, ids in x)
+
+
+@needs_model
+def test_texts_of_ids_are_decoded_alike_at_once():
+    import numpy as np
+
+    model = pieces.PieceModel.load()
+    speller = pieces.Speller(model.names, model.byte_ids, model.unk_id)
+    whole = [model.encode_word(pieces.SPACE + t) for t in ("the", "漢", pieces.SPACE + "a")] + [[], [model.unk_id], [model.byte_ids[32], model.byte_ids[65]]]
+    for lists in (whole, [*whole, [model.byte_ids[0xE6]]]):
+        ids, ends = np.array([i for x in lists for i in x], np.int32), np.cumsum([0, *map(len, lists)])
+        assert speller.texts(ids, ends).to_pylist() == [speller.decode(x) for x in lists]
+
+
 @needs_model
 def test_pieces_of_an_empty_table(spark, empty):
     assert pieces.encode_documents(empty, pieces.PieceModel.load()).count() == 0

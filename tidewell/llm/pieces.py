@@ -34,8 +34,12 @@ BLOCK_BYTES = 16 << 20
 #: Words that one task segments, on average.
 WORDS_A_TASK = 50_000
 UNIGRAM, BPE = 1, 2
-#: Tokens that a task gathers before it hands their words on.
-HELD_TOKENS = 400_000
+#: The word of a model whose pieces reach across spaces.
+ANY_TEXT = r"[\s\S]+"
+#: Text bytes that a task takes at once to tell their words.
+HELD_BYTES = 24 << 20
+#: Pairs of a word and a block that a task gathers before it packs them by block.
+HELD_PAIRS = 2_000_000
 
 
 def _class(points: list[int]) -> str:
@@ -90,7 +94,7 @@ class PieceModel:
         that no piece joins to another. Characters are of one kind if a chain of pieces holds them side
         by side; no piece reaches across a cut between kinds, so words can be segmented one by one."""
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
-            return r"[\s\S]+"
+            return ANY_TEXT
         up: dict[str, str] = {}
 
         def root(c: str) -> str:
@@ -184,6 +188,21 @@ class Speller:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of the sequences ids[ends[i] : ends[i + 1]], as :meth:`decode` gives them."""
+        at = ids.copy()
+        at[ends[:-1][np.diff(ends) > 0]] += len(self.raw)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), self.table.take(pa.array(at)))
+        try:
+            return pc.binary_join(lists, b"").cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+
+    @cached_property
+    def table(self) -> pa.Array:
+        """What each id stands for, then the same for ids that begin a text."""
+        return pa.array([*self.raw, *(x.removeprefix(b" ") for x in self.raw)], pa.binary())
+
 
 def ranks(model: PieceModel) -> dict[float, int]:
     """Places of the scores, best first; equal scores share one."""
@@ -343,7 +362,7 @@ def segmented(words: DataFrame, model: PieceModel) -> DataFrame:
 _TOKENS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Texts cut before every run of spaces, which no word of :attr:`PieceModel.pattern` reaches across:
     the order in which rows are told, the tokens of each, their numbers row by row, and what the numbers
     stand for, spaces written as the model does and one put before each text.
@@ -354,8 +373,8 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str
     first, last = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (pc.invert(odd), odd))
     lists = pc.split_pattern(texts.take(pa.array(first)), " ")
     told = lists.flatten().dictionary_encode()
-    names = [SPACE + x for x in told.dictionary.to_pylist()]
-    number = {}
+    names = pc.binary_join_element_wise(SPACE, told.dictionary, "")
+    number: dict[str, int] = {}
     more, sizes = [], []
     for i in last.tolist():
         t = texts[i].as_py()
@@ -364,7 +383,7 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str
         sizes.append(len(found))
     counts = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), np.array(sizes, np.int64)])
     codes = np.concatenate([told.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.array(more, np.int64)])
-    return np.concatenate([first, last]), counts, codes, names + list(number)
+    return np.concatenate([first, last]), counts, codes, pa.concat_arrays([names, pa.array(list(number), pa.string())])
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -379,39 +398,54 @@ def _gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[np.arange(total[-1] if len(total) else 0) + np.repeat(ends[at] - total + size, size)]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The numbers of ``x``, each once, in order; ``x`` is sorted in place."""
+    x.sort()
+    return x[np.diff(x, prepend=-1) != 0]
+
+
+def _words_in(tokens: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``tokens``, one token after the other, and how many each has. Every token begins with
+    a space and holds none behind another character, so words are found in all of them at once."""
+    find = re.compile(pattern).findall
+    blank = pc.match_substring_regex(tokens, f"^{SPACE}+$").to_numpy(zero_copy_only=False) if len(tokens) else np.zeros(0, bool)
+    if pattern == ANY_TEXT or blank.any():
+        lists = [find(x) for x in tokens.to_pylist()]
+        return pa.array([w for x in lists for w in x], pa.string()), np.array([len(x) for x in lists], np.int64)
+    words = pa.array(find("".join(tokens.to_numpy(zero_copy_only=False))), pa.string())
+    return words, np.diff(np.append(np.flatnonzero(pc.starts_with(words, SPACE).to_numpy(zero_copy_only=False)), len(words))).astype(np.int64)
+
+
 def words_of_blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
     """``docs`` (block, text) to word and masks, an array of (group, mask): bit b of a group's mask says
     that block 64 * group + b holds the word. Each task tells a word once for what it has at hand."""
     pattern = model.pattern
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern).findall
-        held: dict[int, dict[str, int]] = {}  # by group: what stands between spaces, and its blocks
-        count = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for group, tokens in held.items():
-                words: dict[str, int] = {}
-                get = words.get
-                for token, mask in tokens.items():
-                    for w in find(token):
-                        words[w] = get(w, 0) | mask
-                masks = np.fromiter(words.values(), np.uint64, len(words)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(np.full(len(words), group, np.int32)), pa.array(masks)], ["word", "group", "mask"])
-            held.clear()
+    def told(blocks: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+        order, counts, codes, names = coded(texts)
+        width = int(blocks.max()) + 1
+        # each token and block once
+        tokens, held = np.divmod(_distinct(codes * width + np.repeat(blocks[order].astype(np.int64), counts)), width)
+        del codes
+        found, sizes = _words_in(names, pattern)
+        found, ends = found.dictionary_encode(), np.concatenate([[0], np.cumsum(sizes)])
+        words = _gathered(found.indices.to_numpy().astype(np.int64), ends, tokens)
+        # each word and block once, then a mask for each word and group
+        words, held = np.divmod(_distinct(words * width + np.repeat(held, sizes[tokens])), width)
+        groups = width // 64 + 1
+        key = words * groups + held // 64
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        masks = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (held % 64).astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        word, group = np.divmod(key[first], groups)
+        return pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(word)), pa.array(group.astype(np.int32)), pa.array(masks.view(np.int64))], ["word", "group", "mask"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, text in zip(b.column("block").to_pylist(), b.column("text"), strict=True):
-                group, bit = block // 64, 1 << block % 64
-                tokens = held.setdefault(group, {})
-                before, get = len(tokens), tokens.get
-                for t in set(_TOKENS.findall(SPACE + text.as_py().replace(" ", SPACE))):
-                    tokens[t] = get(t, 0) | bit
-                count += len(tokens) - before
-                if count >= HELD_TOKENS:
-                    yield from out()
-                    count = 0
-        yield from out()
+            upto = np.cumsum(pc.binary_length(b.column("text")).to_numpy(), dtype=np.int64) // HELD_BYTES
+            for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(upto)) + 1):
+                if len(part):
+                    rows = b.slice(part[0], len(part))
+                    yield told(rows.column("block").to_numpy(), rows.column("text"))
         trim()
 
     found = docs.select("block", "text").filter("text <> ''").mapInArrow(run, "word string, group int, mask long")
@@ -419,6 +453,65 @@ def words_of_blocks(docs: DataFrame, model: PieceModel) -> DataFrame:
     return masks.groupBy("word").agg(F.collect_list(F.struct("group", "mask")).alias("masks"))
 
 
+def words_to_blocks(lexicon: DataFrame, vocabulary: int) -> DataFrame:
+    """``lexicon`` (word, ids, masks of :func:`words_of_blocks`) to block and frame: the words of a block
+    among those at hand with their ids, as one compressed string of bytes, so that what is dealt to
+    the blocks is a few rows each and not one a word."""
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+    def frames(held: list[pa.RecordBatch], pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, ids = (pa.concat_arrays([b.column(c) for b in held]) for c in ("word", "ids"))
+        before = np.cumsum([0, *(b.num_rows for b in held)])
+        block = np.concatenate([x for x, _ in pairs])
+        row = np.concatenate([y + n for (_, y), n in zip(pairs, before, strict=False)])
+        order = np.argsort(block, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(block[order])) + 1)
+        return pa.RecordBatch.from_arrays([pa.array([block[p[0]] for p in parts], pa.int32()), pa.array([pack(words.take(r), ids.take(r), kind) for r in (pa.array(row[p]) for p in parts)], pa.binary())], ["block", "frame"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pairs, count = [], [], 0
+        for b in (whole.slice(i, 5_000) for whole in batches for i in range(0, whole.num_rows, 5_000)):
+            masks = b.column("masks")
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(masks).to_numpy())
+            flat = masks.flatten()
+            at, bit = np.nonzero(np.unpackbits(flat.field("mask").to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            held.append(b)
+            pairs.append((flat.field("group").to_numpy()[at] * 64 + bit, row[at]))
+            count += len(at)
+            if count >= HELD_PAIRS:
+                yield frames(held, pairs)
+                held, pairs, count = [], [], 0
+        if count:
+            yield frames(held, pairs)
+        del held, pairs
+        trim()
+
+    return lexicon.select("word", "ids", "masks").mapInArrow(run, "block int, frame binary")
+
+
+def pack(words: pa.StringArray, ids: pa.ListArray, kind: str) -> bytes:
+    """Words and their ids as bytes: how long each is, how many ids it has, the ids, the words."""
+    sizes = np.concatenate([[len(words)], pc.binary_length(words).to_numpy(), pc.list_value_length(ids).to_numpy()]).astype("<u4")
+    raw = sizes.tobytes() + ids.flatten().to_numpy().astype(kind).tobytes() + b"".join(words.cast(pa.binary()).to_numpy(zero_copy_only=False))
+    return np.array([len(raw), np.dtype(kind).itemsize], "<i8").tobytes() + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unpack(frames: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all frames, their ids one after the other, and where each word's begin and end."""
+    lengths, counts, ids, texts = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")], [np.zeros(0, np.int32)], []
+    for f in frames:
+        size, width = np.frombuffer(f, "<i8", 2).tolist()
+        raw = pa.Codec("zstd").decompress(memoryview(f)[16:], decompressed_size=size, asbytes=True)
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        lengths.append(np.frombuffer(raw, "<u4", n, 4))
+        counts.append(np.frombuffer(raw, "<u4", n, 4 + 4 * n))
+        ids.append(np.frombuffer(raw, f"<u{width}", int(counts[-1].sum()), 4 + 8 * n).astype(np.int32))
+        texts.append(memoryview(raw)[4 + 8 * n + width * len(ids[-1]) :])
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
+    words = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(texts)))
+    return words, np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)])
+
+
 def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int = BLOCK_BYTES, decoded: bool = False) -> DataFrame:
     """doc_id, ids for every row: the ids that the model's own encoder gives for the whole text; with
     ``decoded`` also text, what decoding those ids gives.
@@ -443,14 +536,13 @@ def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int =
     finally:
         spark.conf.set(name, before)
     discard(words)
-    held = F.flatten(F.transform("masks", lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(m["mask"], b) == 1), lambda b: b + m["group"] * 64)))
-    spread = lexicon.select(F.explode(held).alias("block"), "word", "ids")
+    spread = words_to_blocks(lexicon, len(model.names))
     kind = documents.schema["doc_id"].dataType
     pattern, speller = model.pattern, Speller(model.names, model.byte_ids, model.unk_id)
     result = pa.schema([("doc_id", to_arrow_type(kind)), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * decoded)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for b in batches:
             block = b.column("block").to_numpy()
             order = np.argsort(block, kind="stable")
@@ -471,19 +563,16 @@ def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int =
         order, counts, codes, names = coded(_whole(rows.column("text")))
         doc_ids = _whole(rows.column("doc_id")).take(pa.array(order))
         del rows
-        place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        lists = _whole(right.column("ids"))
-        flat = lists.flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]) if right.num_rows else np.zeros(1, np.int64)
-        # a token's words, then a token's ids
-        find = re.compile(pattern).findall
-        words, sizes = [], []
-        for x in names:
-            found = find(x)
-            words += map(place.__getitem__, found)
-            sizes.append(len(found))
-        del place, names
-        words = np.array(words, np.int64)
+        lexicon, flat, ends = unpack(right.column("frame").to_pylist())
+        # a token's words, then a token's ids: most tokens are one word
+        at = pc.index_in(names, value_set=lexicon)
+        sizes, whole = np.ones(len(names), np.int64), at.is_valid().to_numpy(zero_copy_only=False)
+        found, sizes[~whole] = _words_in(names.filter(at.is_null()), pattern)
+        words = np.zeros(sizes.sum(), np.int64)
+        mine = np.repeat(whole, sizes)
+        words[mine] = at.drop_null().to_numpy()
+        words[~mine] = pc.index_in(found, value_set=lexicon).to_numpy()
+        del lexicon, names, found, at, mine
         by_token = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         flat, token_ends = _gathered(flat, ends, words), np.concatenate([[0], np.cumsum(ends[words + 1] - ends[words])])[by_token]
         upto = np.concatenate([[0], np.cumsum(counts)])
@@ -495,10 +584,10 @@ def encode_documents(documents: DataFrame, model: PieceModel, block_bytes: int =
             out.append(ids)
             lengths.append(np.diff(cut))
             if decoded:
-                texts += [speller.decode(ids[a:b].tolist()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                texts.append(speller.texts(ids, cut))
         offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32) if lengths else np.zeros(1, np.int32))
         columns = [doc_ids, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))]
-        done = pa.table(columns + [pa.array(texts, pa.string())] * decoded, names=result.names)
+        done = pa.table(columns + [pa.chunked_array(texts, pa.string())] * decoded, names=result.names)
         del out, texts, words, codes, flat
         trim()
         return done
